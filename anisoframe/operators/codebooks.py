@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.scalars import lit
@@ -111,7 +112,7 @@ def nearest_codes(vectors: DataFrame, codes: np.ndarray, vector: str = "v", prob
     if len(codes) > ENTRIES:
         raise ValueError(f"a codebook has at most {ENTRIES} entries")
     shared = vectors.sparkSession.sparkContext.broadcast(np.ascontiguousarray(codes, np.float64))
-    schema = vectors.schema.add("label", "int").add("distance", "double")
+    schema = T.StructType([*vectors.schema.fields, T.StructField("label", T.IntegerType()), T.StructField("distance", T.DoubleType())])
     at = vectors.columns.index(vector)
 
     def run(batches):

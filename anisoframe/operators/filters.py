@@ -19,6 +19,15 @@ def every(tests: list[Column]) -> Column:
     return reduce(and_, tests)
 
 
+def late(rows: DataFrame, test: Column) -> DataFrame:
+    """``rows`` that pass a test of columns that took many steps to make.
+
+    A plain filter would be pushed below those steps, with each step written out at each of its uses.
+    """
+    mark = F.explode(F.when(test, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>"))).alias("__kept")
+    return rows.select("*", mark).drop("__kept")
+
+
 def valid() -> Column:
     """All numbers finite, opacity not negative, a rotation that isn't zero. A scale of zero (log -inf) is allowed."""
     numbers = [*POSITION, *SCALE, *ROTATION, *COLOUR, F.col("opacity")]

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import geometry as G
@@ -171,9 +172,8 @@ def _quaternions(m: np.ndarray) -> np.ndarray:
 def merge_groups(rows: DataFrame, *keys: str) -> DataFrame:
     """One Gaussian for each group: its moments, and the scales and rotation of their covariance."""
     moments = merged_moments(rows, *keys)
-    schema = moments.schema
-    for c in ("sx", "sy", "sz", "qx", "qy", "qz", "qw", "opacity"):
-        schema = schema.add(c, "double")
+    new = ("sx", "sy", "sz", "qx", "qy", "qz", "qw", "opacity")
+    schema = T.StructType([*moments.schema.fields, *(T.StructField(c, T.DoubleType()) for c in new)])
     return moments.mapInArrow(_shapes, schema).drop(*COVARIANCE)
 
 
@@ -274,7 +274,7 @@ def kept_nodes(nodes: DataFrame, base: float, levels: int) -> DataFrame:
     return out.select("level", "node", "kept")
 
 
-def view_distance(views: DataFrame, behind: float = 1.0, shrink: float = 0.0) -> Column:
+def view_distance(behind: float = 1.0, shrink: float = 0.0) -> Column:
     """Of a node's bounds to a view (vx, vy, vz looking along ax, ay, az), longer behind it; at least 1e-6."""
     low = [F.col(f"min_{a}") + (F.col(f"max_{a}") - F.col(f"min_{a}")) * lit(shrink / 2) for a in AXES]
     high = [F.col(f"max_{a}") - (F.col(f"max_{a}") - F.col(f"min_{a}")) * lit(shrink / 2) for a in AXES]
@@ -288,12 +288,12 @@ def budgeted_cut(nodes: DataFrame, budget: int, levels: int, base: float = 64.0,
     """(level, node): the cut that refining nodes in order of their key gives within the budget of nodes.
 
     nodes: level, node, distance. A node's key is no smaller than its parent's, so that the refined nodes are a prefix of
-    that order; nodes of equal keys are refined together or not at all.
+    that order; nodes of equal keys are refined together or not at all. Finer levels are refined nearer, by ``multiplier``.
     """
     keyed = None
     above = None
     for level in range(levels + 1):
-        own = nodes.where(F.col("level") == level).withColumn("key", F.ln(F.col("distance") / lit(base)) - lit((level - 1) * np.log(multiplier)))
+        own = nodes.where(F.col("level") == level).withColumn("key", F.ln(F.col("distance") / lit(base)) - lit((levels - level - 1) * np.log(multiplier)))
         if above is not None:
             parent = above.select(F.col("node").alias("__p"), F.col("key").alias("__k"))
             own = own.join(parent, F.shiftright("node", 3) == F.col("__p")).withColumn("key", F.greatest("key", "__k")).drop("__p", "__k")

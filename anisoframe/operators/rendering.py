@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import geometry as G
 from ..functions import vectors as V
 from ..functions.scalars import float_bits, is_finite, lit
-from .filters import POSITION, ROTATION, SCALE, in_range, to_view
+from .filters import POSITION, ROTATION, SCALE, in_range, late, to_view
 from .running import ranked
 
 LIMIT = 1e20
@@ -52,10 +52,12 @@ def project(rows: DataFrame, view: dict, blur: float = 0.3, least_alpha: float =
     j1 = [lit(0), fy * inv, -(fy * inv * c[1]) * inv]
     r = G.rotation_matrix(ROTATION)
     world = lambda j: [V.total([j[k] * axes[k][i] for k in range(3)]) for i in range(3)]
-    p0, p1 = ([V.total([r[i][k] * w[i] for i in range(3)]) * SCALE[k] for k in range(3)] for w in (world(j0), world(j1)))
-    a, b, d = V.dot(p0, p0), V.dot(p0, p1), V.dot(p1, p1)
+    # In steps, so that no expression is written out at each of its uses.
+    out = rows.where(c[2] < 0).withColumns({"depth": -c[2], "px": -fx * c[0] * inv, "py": -fy * c[1] * inv} | {f"__w{n}{i}": w for n, j in enumerate((j0, j1)) for i, w in enumerate(world(j))})
+    turned = {f"__p{n}{k}": V.total([r[i][k] * F.col(f"__w{n}{i}") for i in range(3)]) * SCALE[k] for n in range(2) for k in range(3)}
+    p0, p1 = V.columns("__p00 __p01 __p02"), V.columns("__p10 __p11 __p12")
+    out = out.withColumns(turned).withColumns({"__a": V.dot(p0, p0), "__b": V.dot(p0, p1), "__d": V.dot(p1, p1)})
     alpha, _ = G.alpha_shape(F.col("opacity"))
-    out = rows.where(c[2] < 0).withColumns({"__a": a, "__b": b, "__d": d, "depth": -c[2], "px": -fx * c[0] * inv, "py": -fy * c[1] * inv})
     wide_a, wide_d = F.col("__a") + lit(blur), F.col("__d") + lit(blur)
     det = wide_a * wide_d - F.col("__b") * F.col("__b")
     thin = F.col("__a") * F.col("__d") - F.col("__b") * F.col("__b")
@@ -64,7 +66,7 @@ def project(rows: DataFrame, view: dict, blur: float = 0.3, least_alpha: float =
     big = mean + F.sqrt(half * half + F.col("cov_xy") * F.col("cov_xy"))
     fits = (F.col("__det") > 0) & (F.col("alpha") > 0) & (F.col("alpha") >= lit(least_alpha))
     support = F.least(lit(deviations), F.sqrt(F.greatest(lit(0), lit(2) * F.ln(F.col("alpha") / lit(least_alpha)))))
-    return out.where(fits).withColumns({"radius1": support * F.sqrt(big), "radius2": support * F.sqrt(F.col("__det") / big)}).drop("__a", "__b", "__d", "__det")
+    return late(out, fits).withColumns({"radius1": support * F.sqrt(big), "radius2": support * F.sqrt(F.col("__det") / big)}).drop(*(x for x in out.columns if x.startswith("__")))
 
 
 def large_enough(projected: DataFrame, pixels: float) -> DataFrame:
@@ -178,7 +180,9 @@ def edited(edits: list[dict]) -> dict[str, Column]:
         factor = F.when(whole > 0, amount(-d if invert else d, soft)).otherwise(lit(0))
         new = []
         for i, old in enumerate(rgba):
-            value, mask = (V.total([w * lit(s[k][i]) for w, s in zip(weights, picks)]) / F.when(whole > 0, whole) for k in ("rgba", "mask"))
+            # A channel that a selection doesn't mask has no value.
+            sums = (V.total([w * lit(v(s)) for w, s in zip(weights, picks)]) for v in (lambda s, i=i: s["rgba"][i] * s["mask"][i], lambda s, i=i: s["mask"][i]))
+            value, mask = (x / F.when(whole > 0, whole) for x in sums)
             target = {"mul": old * (lit(1) + value - mask), "set": old * (lit(1) - mask) + value, "add": old + value}[edit["blend"]]
             new.append(F.when(factor > 0, old + (target - old) * factor).otherwise(old))
         rgba = new

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import vectors as V
 from ..functions.scalars import is_finite, lit
-from .filters import POSITION, ROTATION, SCALE, every
-from .running import ranked
+from .filters import POSITION, ROTATION, SCALE, every, late
+from .running import checkpointed, ranked
 
 AXES = ("x", "y", "z")
 CELLS, BLOCK = 1024, 256
@@ -95,27 +95,34 @@ def slab_test(o: list[Column], d: list[Column], near: Column, far: Column) -> Co
     return ~(bounds[0][0] > bounds[0][1]) & (~finite | (inside & (near <= far)))
 
 
-def hit_distance(o: list[Column], d: list[Column], radius: Column, near: Column, far: Column) -> Column:
-    """Where a ray enters the ellipsoid of this row at a radius; null where it doesn't, or starts inside.
+def with_hits(rows: DataFrame, radius: Column) -> DataFrame:
+    """``rows`` (Gaussians joined with rays ox..dz, near, far) with ``t``, where the ray enters the ellipsoid at a radius;
+    rows that it misses, or whose ellipsoid it starts in, go.
 
-    One scale of zero makes a flat disk, more than one nothing.
+    One scale of zero makes a flat disk, more than one nothing. Each step is a projection of its own, so that no
+    expression is written out at each of its uses.
     """
-    q = V.conjugate(ROTATION)
-    lo, ld = V.rotate(q, V.minus(o, POSITION)), V.rotate(q, d)
-    size = [s * radius for s in SCALE]
+    q, names = V.conjugate(ROTATION), list(rows.columns)
+    o = V.rotate(q, V.minus(V.columns("ox oy oz"), POSITION))
+    d = V.rotate(q, V.columns("dx dy dz"))
+    rows = rows.withColumns({"__r": radius} | {f"__o{i}": v for i, v in enumerate(o)} | {f"__d{i}": v for i, v in enumerate(d)}).where("__r IS NOT NULL")
+    lo, ld = V.columns("__o0 __o1 __o2"), V.columns("__d0 __d1 __d2")
+    size = [s * F.col("__r") for s in SCALE]
     some = [F.when(s > 0, s) for s in size]
-    po, pd = [a / s for a, s in zip(lo, some)], [a / s for a, s in zip(ld, some)]
-    a, b, c = V.dot(pd, pd), V.dot(po, pd), V.cross(po, pd)
-    disc = a - V.dot(c, c)
-    solid = (-b - F.sqrt(F.when(disc >= 0, disc))) / F.when(a > 0, a)
+    rows = rows.withColumns({f"__{n}{i}": v / s for n, local in (("p", lo), ("m", ld)) for i, (v, s) in enumerate(zip(local, some))})
+    po, pd = V.columns("__p0 __p1 __p2"), V.columns("__m0 __m1 __m2")
+    c = V.cross(po, pd)
+    rows = rows.withColumns({"__a": V.dot(pd, pd), "__b": V.dot(po, pd), "__c": V.dot(c, c)})
+    disc = F.col("__a") - F.col("__c")
+    solid = (-F.col("__b") - F.sqrt(F.when(disc >= 0, disc))) / F.when(F.col("__a") > 0, F.col("__a"))
     disks = []
     for k in range(3):
         t = -lo[k] / F.when(F.abs(ld[k]) >= 1e-6, ld[k])
         others = [i for i in range(3) if i != k]
-        square = V.total([((lo[i] + t * ld[i]) / some[i]) * ((lo[i] + t * ld[i]) / some[i]) for i in others])
+        square = V.total([(po[i] + t * pd[i]) * (po[i] + t * pd[i]) for i in others])
         disks.append(F.when((size[k] == 0) & (square <= 1), t))
-    t = F.coalesce(solid, *disks)
-    return F.when((t >= near) & (t <= far), t)
+    rows = rows.withColumn("t", F.coalesce(solid, *disks))
+    return late(rows, (F.col("t") >= F.col("near")) & (F.col("t") <= F.col("far"))).select(*names, "t")
 
 
 def raycast(ordered: DataFrame, rays: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
@@ -125,7 +132,7 @@ def raycast(ordered: DataFrame, rays: DataFrame, blocks: DataFrame | None = None
     only rows of blocks that a ray may hit are read against it. The rays are a stated query set and go to all tasks in
     rounds of at most ``RAYS``.
     """
-    blocks = block_bounds(ordered) if blocks is None else blocks
+    blocks = checkpointed(block_bounds(ordered)) if blocks is None else blocks
     n = rays.count()
     rounds = 1 + n // RAYS
     out = None
@@ -133,8 +140,7 @@ def raycast(ordered: DataFrame, rays: DataFrame, blocks: DataFrame | None = None
         part = F.broadcast(rays.where(F.pmod(F.xxhash64("ray_id"), F.lit(rounds)) == i))
         o, d = V.columns("ox oy oz"), V.columns("dx dy dz")
         met = blocks.join(part, slab_test(o, d, F.col("near"), F.col("far")) & (V.dot(d, d) > 0)).select("block", *part.columns)
-        t = hit_distance(o, d, G.iso_radius(F.col("opacity"), F.col("min_opacity")), F.col("near"), F.col("far"))
-        found = ordered.join(met, "block").withColumn("t", t).where("t IS NOT NULL").select("ray_id", "id", "t")
+        found = with_hits(ordered.join(met, "block"), G.iso_radius(F.col("opacity"), F.col("min_opacity"))).select("ray_id", "id", "t")
         out = found if out is None else out.unionByName(found)
     return out
 
