@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LONG, STRING, as_bytes, struct
+from .common import LONG, STRING, as_bytes, small_batches, struct
 
 #: Distinct pretokens that a task remembers before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 60_000
 # White space as the pattern's \s has it, and the pattern that splits texts.
 _SPACE = "\t-\r \x85\xa0  -     　"
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -149,7 +149,7 @@ class ByteBPE:
         at = 0
         while at < len(order):
             width = 1 << max(2, int(sizes[order[at]] - 1).bit_length())
-            end = min(int(np.searchsorted(sizes[order], width, side="right")), at + max(1, (1 << 19) // width))
+            end = min(int(np.searchsorted(sizes[order], width, side="right")), at + max(1, (1 << 17) // width))
             part = order[at:end]
             size = sizes[part]
             row = np.repeat(np.arange(len(part)), size)
@@ -188,7 +188,7 @@ class ByteBPE:
                 self.chunks.clear()
                 self.pieces.clear()
             part, size, new = [], 0, set()
-            while at < len(texts) and size < 1 << 22:
+            while at < len(texts) and size < 1 << 20:
                 text = texts[at]
                 size += len(text) + 1
                 at += 1
@@ -251,6 +251,7 @@ def measure(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         cols = list(zip(*rows)) or [[]] * 3
         return pa.StructArray.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
 
+    small_batches(docs.sparkSession)
     shape = struct(n_tokens=LONG, ids_sha256=STRING, decoded_sha256=STRING)
     return docs.select(id_col, F.arrow_udf(look, shape)(text_col).alias("m")).select(id_col, "m.*")
 

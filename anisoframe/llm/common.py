@@ -51,5 +51,16 @@ def as_bytes(texts: pa.Array) -> list[bytes]:
     return [b if b is not None else b"" for b in texts.cast(pa.large_binary()).to_pylist()]
 
 
+#: Rows of an Arrow batch; whole texts are long, and a task holds a batch on either side at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have the session send at most ``BATCH_ROWS`` rows to Python at once; a smaller setting of its own stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LONG, STRING, as_bytes, fresh, struct
+from .common import LONG, STRING, as_bytes, fresh, small_batches, struct
 from .suffix_dedup import suffix_ranks
 
 WINDOW = 13
@@ -188,6 +188,7 @@ def found_in(text: Column, benchmark: DataFrame, id_col: str = "item_id", text_c
     item) is hit; ``words`` are the merged spans of hit words. Null and empty texts have no words; items without words
     have no window; repeated items count once, and an item without id counts under an empty id.
     """
+    small_batches(benchmark.sparkSession)
     out = None
     for windows in _blocks(benchmark, id_col, text_col, block, window):
         look = _search(windows)

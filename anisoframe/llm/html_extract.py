@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LONG, STRING, struct
+from .common import LONG, STRING, small_batches, struct
 
 # Element names of HTML and words that name page furniture in class, id and role attributes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -205,4 +205,5 @@ def _extract(pages: pa.Array) -> pa.Array:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) of every row; a page at a time, without a shuffle. A null page has an empty text."""
+    small_batches(pages.sparkSession)
     return pages.select(id_col, url_col, _extract(html_col).alias("found")).select(id_col, url_col, "found.text", "found.n_chars")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LONG, STRING, fresh, struct
+from .common import LONG, STRING, fresh, small_batches, struct
 
 #: Lines of fewer words are too common in clean prose to be copies.
 MIN_WORDS = 5
@@ -63,6 +63,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     mark: xxhash64 of the text; rows equal in id and text are one document here.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.explode(_lines(text_col)).alias("l"))
     rows = rows.select("id", "mark", "l.*")
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "mark", "no")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LONG, as_bytes, checkpointed, fresh
+from .common import LONG, as_bytes, checkpointed, fresh, small_batches
 from .components import connected_components
 
 #: Bits of the six blocks, from the lowest.
@@ -160,6 +160,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     equal id stay rows. Null ids count as no id: a component of null ids only has a null component_id. Other columns of
     ``docs`` are not read. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     rows = checkpointed(docs.select(F.col(id_col).alias("id"), _fingerprints(F.col(text_col)).alias("fp")))
     values = rows.groupBy("fp").agg(F.min("id").alias("first"))
     roots = connected_components(near_links(values, radius))

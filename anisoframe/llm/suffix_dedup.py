@@ -33,13 +33,13 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LONG, STRING, as_bytes, fresh, struct
+from .common import LONG, STRING, as_bytes, fresh, small_batches, struct
 
 LENGTH = 200
 TRIGGER = 64
 #: Kinds of phrases of one trigger that a task orders at most, and bytes of a batch.
 KINDS = 8192
-BATCH = 4 << 20
+BATCH = 1 << 20
 _PIECE = 1 << 17
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # any odd number serves as the base of the rolling hash
 
@@ -383,6 +383,7 @@ def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     mark: xxhash64 of the text; it tells rows of equal id and different text apart.
     """
+    small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     long = src.where(F.octet_length("text") >= LENGTH)

@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_bytes, checkpointed, shuffle_width
+from .common import as_bytes, checkpointed, shuffle_width, small_batches
 from .files import new_folder, opened
 
 BLOCK = 1 << 16
 #: Distinct words that a task remembers before it starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 60_000
 END_ID = 1
 _MAGIC = b"TOKPLAN1"
 _FOOTER = binary.Struct("<QQQQQ8s")
@@ -162,7 +162,7 @@ class WordEncoder:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
             split, size, new = [], 0, set()
-            while at < len(texts) and size < 1 << 22:
+            while at < len(texts) and size < 1 << 20:
                 text = texts[at]
                 at += 1
                 size += len(text) + 1
@@ -216,6 +216,7 @@ def write_planes(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id"
     first; rows of equal id stand together, in order of their text's hash. start: the ids in all files before.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    small_batches(docs.sparkSession)
     width = shuffle_width(docs.sparkSession)
     rows = rows.repartitionByRange(width, "id").sortWithinPartitions("id", F.xxhash64("text"))
     files = checkpointed(rows.mapInArrow(_write(folder, path, bits), "part long, file string, docs long, ids long"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, checkpointed, shuffle_width
+from .common import as_bytes, checkpointed, shuffle_width, small_batches
 from .files import new_folder, opened
 
 #: Payloads below this size are never replaced by a revisit.
@@ -101,6 +101,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     Null payloads are empty. Payloads below 100 bytes, and rows with a null id, are always responses; rows equal in id
     and payload are each written as the first of them is.
     """
+    small_batches(pages.sparkSession)
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
     large = F.octet_length("payload") >= REVISIT_BYTES
