@@ -30,10 +30,12 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import LONG, STRING, as_bytes, fresh, small_batches, struct
+from .files import new_folder
 
 LENGTH = 200
 TRIGGER = 64
@@ -277,6 +279,7 @@ def _runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, gap + 1)].tolist(), (starts[np.append(gap, len(starts) - 1)] + length).tolist()))
 
 
+_SPAN_TYPE = T.ArrayType(struct(start=LONG, end=LONG))
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -335,11 +338,15 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        packed = pa.array([pack.compress(b) for b in as_bytes(batch.column("text"))], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), packed], names=["id", "mark", "packed"])
+@F.arrow_udf(T.BinaryType())
+def _packed(texts: pa.Array) -> pa.Array:
+    pack = zstandard.ZstdCompressor(level=3)
+    return pa.array([pack.compress(b) for b in as_bytes(texts)], pa.binary())
+
+
+def _same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows as they are: no column is pruned below, so that all that is made of them shares one shuffle."""
+    yield from batches
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,7 +354,10 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         cols: dict[str, list] = {c: [] for c in ("row", "key", "kinds", "n", "left", "at", "bytes")}
-        for i, (packed, wanted) in enumerate(zip(batch.column("packed").to_pylist(), batch.column("wanted").to_pylist())):
+        *_, ids, marks, packs, wants = batch.columns
+        for i, (packed, wanted) in enumerate(zip(packs.to_pylist(), wants.to_pylist())):
+            if not wanted:
+                continue
             data = unpack.decompress(packed)
             for w in wanted:
                 left = max(0, w["first"] - (LENGTH - TRIGGER))
@@ -355,11 +365,16 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     cols[c].append(x)
         row = pa.array(cols["row"], pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id").take(row), batch.column("mark").take(row), *(pa.array(cols[c], pa.int64()) for c in ("key", "kinds", "n", "left", "at")), pa.array(cols["bytes"], pa.binary())],
+            [ids.take(row), marks.take(row), *(pa.array(cols[c], pa.int64()) for c in ("key", "kinds", "n", "left", "at")), pa.array(cols["bytes"], pa.binary())],
             names=["id", "mark", "key", "kinds", "n", "left", "at", "bytes"],
         )
 
 
+def _unpacked(packed: pa.Array) -> Iterator[bytes]:
+    unpack = zstandard.ZstdDecompressor()
+    return map(unpack.decompress, packed.to_pylist())
+
+
 def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     ends = [0, *(e for _, e in spans)]
     return b"".join(data[a:b] for a, b in zip(ends, [*(s for s, _ in spans), len(data)]))
@@ -376,20 +391,43 @@ def merged(spans: list[dict] | None, size: int) -> list[tuple[int, int]]:
     return out
 
 
-def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: int = KINDS) -> DataFrame:
-    """(id, mark, spans): byte spans, perhaps overlapping, that repeated 200-byte strings cover in each text with any.
+def _mark(text_col: str) -> Column:
+    """32 bits of a text's hash: they tell rows of equal id and different text apart."""
+    return F.xxhash64(text_col).bitwiseAND(0xFFFFFFFF)
 
-    A span may end behind its text's end; what applies spans cuts it there.
 
-    mark: xxhash64 of the text; it tells rows of equal id and different text apart.
+def packed_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` and, last, the id, the mark and the compressed text in columns with names of their own."""
+    names = [fresh(c, docs.columns) for c in ("dedup_id", "dedup_mark", "dedup_packed")]
+    new = dict(zip(names, (F.col(id_col), _mark(text_col), _packed(F.col(text_col)))))
+    return docs.select(*(c for c in docs.columns if c != text_col), *(e.alias(n) for n, e in new.items())), names
+
+
+def _left(rows: DataFrame, names: list[str], more: DataFrame, value: str) -> DataFrame:
+    """All rows of ``packed_rows`` with a value for their id and mark."""
+    more = more.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col(value).alias("__value"))
+    return rows.join(more, rows[names[0]].eqNullSafe(more["__id"]) & (rows[names[1]] == more["__mark"]), "left").drop("__id", "__mark")
+
+
+def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: int = KINDS, packed: tuple[DataFrame, list[str]] | None = None) -> DataFrame:
+    """(id, mark, spans): byte spans, perhaps overlapping, that repeated 200-byte strings cover in each text with any.
+
+    A span may end behind its text's end; what applies spans cuts it there. packed: what ``packed_rows`` gave, if the
+    caller uses it as well; the texts are then shuffled once for both.
     """
     small_batches(docs.sparkSession)
-    src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    held, names = packed or packed_rows(docs, id_col, text_col)
+    src = docs.select(F.col(id_col).alias("id"), _mark(text_col).alias("mark"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
     long = src.where(F.octet_length("text") >= LENGTH)
     rows = long.mapInArrow(_parse, f"id {kind}, mark long, key long, phrase long, first long, last long, n long")
     known = rows.groupBy("key", "phrase").agg(F.sum("n").alias("n"), F.min(F.struct("id", "mark", "first")).alias("one"))
+    known = known.mapInArrow(_same, f"key long, phrase long, n long, one struct<id:{kind},mark:long,first:long>")
     every = known.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")
+    # What occurs twice, or has a trigger that does, is kept: most of a text is in no such phrase.
+    folder = new_folder(docs.sparkSession, "phrases")
+    known.join(every, "key").drop("total").write.parquet(folder)
+    known = docs.sparkSession.read.parquet(folder)
     # Phrases that occur twice: whole.
     twice = known.where("n > 1").select("key", "phrase")
     whole = rows.join(twice, ["key", "phrase"]).select(
@@ -397,12 +435,10 @@ def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     whole = whole.groupBy("id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     # Triggers with several kinds of phrases: one of each kind, with its bytes.
-    several = known.join(every.where("kinds > 1"), "key").select("one.id", "one.mark", F.struct("key", "kinds", "n", "one.first").alias("w"))
+    several = known.where("kinds > 1").select("one.id", "one.mark", F.struct("key", "kinds", "n", "one.first").alias("w"))
     wanted = several.groupBy("id", "mark").agg(F.collect_list("w").alias("wanted"))
-    packed = long.mapInArrow(_packed, f"id {kind}, mark long, packed binary")
-    held = packed.alias("p").join(wanted.alias("w"), F.col("p.id").eqNullSafe(F.col("w.id")) & (F.col("p.mark") == F.col("w.mark")))
     shape = f"id {kind}, mark long, key long, kinds long, n long, left long, at long, bytes binary"
-    cut = held.select("p.id", "p.mark", "p.packed", "w.wanted").mapInArrow(_cut_out, shape)
+    cut = _left(held, names, wanted, "wanted").mapInArrow(_cut_out, shape)
     ordered = cut.where(F.col("kinds") <= kinds).repartition("key").sortWithinPartitions("key")
     ordered = ordered.mapInArrow(_order, f"id {kind}, mark long, spans array<struct<start:long,end:long>>")
     strings = cut.where(F.col("kinds") > kinds).mapInArrow(_strings, f"id {kind}, mark long, start long, digest binary, n long")
@@ -413,9 +449,9 @@ def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 @F.arrow_udf(struct(n_bytes=LONG, n_removed=LONG, n_spans=LONG, kept_sha256=STRING))
-def _measured(texts: pa.Array, spans: pa.Array) -> pa.Array:
+def _measured(packed: pa.Array, spans: pa.Array) -> pa.Array:
     rows = []
-    for data, found in zip(as_bytes(texts), spans.to_pylist()):
+    for data, found in zip(_unpacked(packed), spans.to_pylist()):
         gone = merged(found, len(data))
         rows.append((len(data), sum(e - s for s, e in gone), len(gone), hashlib.sha256(without(data, gone)).hexdigest()))
     cols = list(zip(*rows)) or [[], [], [], []]
@@ -423,22 +459,26 @@ def _measured(texts: pa.Array, spans: pa.Array) -> pa.Array:
 
 
 @F.arrow_udf(STRING)
-def _kept_text(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    kept = (without(data, merged(found, len(data))) for data, found in zip(as_bytes(texts), spans.to_pylist()))
+def _kept_text(packed: pa.Array, spans: pa.Array) -> pa.Array:
+    kept = (without(data, merged(found, len(data))) for data, found in zip(_unpacked(packed), spans.to_pylist()))
     return pa.array([b.decode("utf-8", "ignore") for b in kept], pa.string())
 
 
-def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "spans") -> DataFrame:
-    """``docs`` with a column of the byte spans that repeat (null: none)."""
-    found = repeat_spans(docs, id_col, text_col).select(F.col("id").alias(name + "_id"), F.col("mark").alias(name + "_mark"), F.col("spans").alias(name))
-    on = F.col(id_col).eqNullSafe(F.col(name + "_id")) & (F.xxhash64(text_col) == F.col(name + "_mark"))
-    return docs.join(found, on, "left").drop(name + "_id", name + "_mark")
+def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str, str]:
+    """(rows, packed, spans): ``docs`` with the text compressed and the byte spans that repeat (null: none), and the names
+    of these two columns."""
+    packed = packed_rows(docs, id_col, text_col)
+    rows, names = packed
+    out = _left(rows, names, repeat_spans(docs, id_col, text_col, packed=packed), "spans").mapInArrow(
+        _same, T.StructType([*rows.schema.fields, T.StructField("__value", _SPAN_TYPE)])
+    )
+    return out, names[2], "__value"
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row: what removal of all repeated strings leaves."""
-    rows = with_spans(docs.select(id_col, text_col), id_col, text_col)
-    return rows.select(id_col, _measured(text_col, "spans").alias("m")).select(id_col, "m.*")
+    rows, packed, spans = with_spans(docs.select(id_col, text_col), id_col, text_col)
+    return rows.select(id_col, _measured(packed, spans).alias("m")).select(id_col, "m.*")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
@@ -447,9 +487,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Matches are of bytes, so a cut may fall inside a character: what is left of such a character is removed as well. A
     null text becomes empty. ``n_chars``, if ``docs`` has that column, is counted anew.
     """
-    name = fresh("spans", docs.columns)
-    text = _kept_text(F.col(text_col), F.col(name))
-    out = with_spans(docs, id_col, text_col, name).withColumn(text_col, text)
+    rows, packed, spans = with_spans(docs, id_col, text_col)
+    out = rows.withColumn(text_col, _kept_text(F.col(packed), F.col(spans)))
     if n_chars in docs.columns:
         out = out.withColumn(n_chars, F.length(text_col).cast(docs.schema[n_chars].dataType))
     return out.select(*docs.columns)

@@ -140,7 +140,7 @@ def test_repeated_strings(spark, kinds, monkeypatch):
         (str(i), len(d), int(g.sum()), int((np.diff(np.append(0, g.astype(int))) == 1).sum()), hashlib.sha256(bytes(np.frombuffer(d, np.uint8)[~g])).hexdigest())
         for (i, _), d, g in zip(rows, datas, gone)
     )
-    monkeypatch.setattr(suffix_dedup, "repeat_spans", lambda *a, **k: spans)
+    monkeypatch.setattr(suffix_dedup, "repeat_spans", lambda *a, packed=None, **k: spans)
     got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.measure(df).collect())
     assert got == want
 
