@@ -175,9 +175,11 @@ def suffix_ranks(symbols: np.ndarray) -> np.ndarray:
     return rank
 
 
-def corpus_order(texts: list[bytes], window: int = 8, modulus: int = 16) -> tuple[np.ndarray, np.ndarray]:
+def corpus_order(texts: list[bytes], window: int = 8, modulus: int = 16, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(data, order): the texts put together, and its places in the order of the suffixes, each up to its text's end.
 
+    places: only these are put in order.
+
     A piece ends with a trigger window, or with its text, and takes along the last ``window - 1`` bytes of the piece
     before it. A place belongs to the piece whose closing trigger is the first that starts at the place or later, so
     that equal strings fall into equal pieces and no dictionary suffix is a prefix of another (but at a text's end).
@@ -209,9 +211,10 @@ def corpus_order(texts: list[bytes], window: int = 8, modulus: int = 16) -> tupl
     symbols = np.zeros(len(cuts) + len(ends), np.int64)
     symbols[slot] = rank[first][parse] + 1
     follow = suffix_ranks(symbols)[slot + 1]
-    here = np.arange(len(data))
+    here = np.arange(len(data)) if places is None else places
     piece = np.minimum(np.searchsorted(cuts, here + window), np.flatnonzero(last)[np.searchsorted(ends, here, side="right")])
-    return data, np.lexsort((follow[piece], rank[first[parse[piece]] + here - begins[piece]]))
+    start = rank[first[parse[piece]] + here - begins[piece]]
+    return data, here[np.argsort(start * (len(follow) + len(symbols) + 1) + follow[piece], kind="stable")]
 
 
 def _words(data: np.ndarray) -> np.ndarray:
@@ -245,13 +248,13 @@ def _repeats(texts: list[bytes], at: np.ndarray, counts: np.ndarray, length: int
     at: where the trigger stands in each phrase; only strings with that trigger are looked at, so that each place of the
     corpus is looked at once. counts: the occurrences of each phrase.
     """
-    data, order = corpus_order(texts)
     sizes = np.array([len(t) for t in texts])
     begin = np.cumsum(sizes) - sizes
-    own = np.zeros(len(data), bool)
-    for t, b, a in zip(texts, begin.tolist(), at.tolist()):
-        own[b + _with_trigger(t, a)] = True
-    order = order[own[order]]
+    whole = np.frombuffer(b"".join(texts), np.uint8)
+    low = _lowest(Rolling(TRIGGER, len(whole))(whole), LENGTH - TRIGGER + 1)
+    places = np.flatnonzero(low == np.repeat(begin + at, sizes)[: len(low)])
+    places = places[places + LENGTH <= np.repeat(begin + sizes, sizes)[places]]
+    data, order = corpus_order(texts, places=places)
     words = _words(data)
     alike = np.arange(1, len(order))
     for k in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
