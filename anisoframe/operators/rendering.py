@@ -29,7 +29,7 @@ def back_to_front(rows: DataFrame, view: dict, radial: bool = False, fast: bool
     fast: only the upper 23 bits of the single-precision depth count.
     """
     d = rows.select(key, depth(view, radial).alias("depth")).where((F.col("depth") >= 0) & is_finite(F.col("depth")))
-    by = F.shiftright(float_bits("depth"), 8) if fast else F.col("depth")
+    by = F.shiftright(float_bits(F.abs("depth")), 8) if fast else F.col("depth")  # the sign of -0.0 would sort first
     return ranked(d.withColumn("by", by), [F.desc("by"), F.asc(key)], "place").drop("by")
 
 

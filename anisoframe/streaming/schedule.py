@@ -89,12 +89,17 @@ def release_stream(demand: DataFrame, cooldown: int = COOLDOWN) -> DataFrame:
     )
 
 
+def _watermarked(events: DataFrame, ts: str, late: str | None) -> DataFrame:
+    """With a watermark if one is asked for; watermarks need a time zone, which is the session's."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if late else events
+
+
 def windowed(events: DataFrame, size: str, slide: str | None = None, late: str | None = None, keys: tuple[str, ...] = ("event_type",), ts: str = "ts", value: str = "value") -> DataFrame:
     """Count and sum in event-time windows, for batches and, with ``late`` as watermark, for streams.
 
     Sums are of whole hundredths, so that they don't depend on the order of rows.
     """
-    rows = events.withWatermark(ts, late) if late else events
+    rows = _watermarked(events, ts, late)
     window = F.window(ts, size, slide) if slide else F.window(ts, size)
     cents = F.sum(F.round(F.col(value) * 100).cast("long")).alias("cents")
     return rows.groupBy(window.alias("w"), *keys).agg(F.count("*").alias("n"), cents).select(F.col("w.start").alias("start"), *keys, "n", "cents")
@@ -102,5 +107,5 @@ def windowed(events: DataFrame, size: str, slide: str | None = None, late: str |
 
 def sessions(events: DataFrame, gap: str, key: str = "user_id", ts: str = "ts", late: str | None = None) -> DataFrame:
     """Sessions of a key that end when nothing comes for the gap."""
-    rows = events.withWatermark(ts, late) if late else events
+    rows = _watermarked(events, ts, late)
     return rows.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), "n")
