@@ -25,17 +25,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_bytes, checkpointed, shuffle_width, small_batches
+from .common import checkpointed, shuffle_width, small_batches
 from .files import new_folder, opened
 
 BLOCK = 1 << 16
-#: Distinct words that a task remembers before it starts anew.
-REMEMBERED = 60_000
+#: Distinct words that a task remembers before it starts anew, and words that the library gets as one text.
+REMEMBERED = 250_000
+TOGETHER = 1000
 END_ID = 1
 _MAGIC = b"TOKPLAN1"
 _FOOTER = binary.Struct("<QQQQQ8s")
-# Fixed value: the pattern that the word tokenizer splits lower-case ASCII text with.
-_ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+_SPACE = r" \t\n\r\f\v"
+#: What only the library splits: special tokens, and characters beyond ASCII and the Latin-1 letters.
+_ODD = re.compile(r"<\||[^\x00-\x7fÀ-ÖØ-öø-ÿ]")
+# Fixed value: the pattern that the word tokenizer splits lower-case text with, for ASCII and Latin-1 letters.
+_WORDS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^{_SPACE}a-zß-öø-ÿ0-9]+")
+#: The same in any case; what stands between white space and has an odd character is one part.
+_PARTS = re.compile(
+    rf"[^{_SPACE}]*(?:{_ODD.pattern})[^{_SPACE}]*|'(?i:s|t|re|ve|m|ll|d)|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^{_SPACE}A-Za-zÀ-ÖØ-öø-ÿ0-9]+"
+)
 
 
 def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -143,8 +151,9 @@ class Reader:
 class WordEncoder:
     """The ids of a tokenizer file by the tokenizers library, with words that were seen before looked up.
 
-    The tokenizer drops white space and lower-cases, so a text's ids are those of its parts between white space. A text
-    of ASCII only is split at words and marks as the tokenizer's own pattern does, after lower-casing.
+    The tokenizer drops white space and lower-cases, so a text's ids are those of its parts between white space. Parts
+    of ASCII and Latin-1 letters are split at words and marks as the tokenizer's own pattern does. The library gets many
+    new words as one text; the tokens that end a word tell them apart again.
     """
 
     def __init__(self, path: str):
@@ -153,9 +162,26 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        self.ends[[i for w, i in self.library.get_vocab(with_added_tokens=False).items() if w.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str]) -> None:
+        plain = [w for w in words if not _ODD.search(w)]
+        odd = [w for w in words if _ODD.search(w)]
+        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        for group, e in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            if len(cuts) - 1 != len(group) or cuts[-1] != 4 * len(ids):
+                odd += group
+                continue
+            raw = ids.tobytes()
+            self.known.update(zip(group, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+        for w, e in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False)):
+            self.known[w] = np.array(e.ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
         at = 0
         while at < len(texts):
@@ -166,12 +192,10 @@ class WordEncoder:
                 text = texts[at]
                 at += 1
                 size += len(text) + 1
-                parts = _ASCII.findall(text.lower()) if text.isascii() and b"<|" not in text else text.split()
+                parts = _PARTS.findall(text) if _ODD.search(text) else _WORDS.findall(text.lower())
                 new.update(parts)
                 split.append(parts)
-            fresh = [w for w in new if w not in self.known]
-            found = self.library.encode_batch([w.decode() for w in fresh], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(fresh, found))
+            self._learn([w for w in new if w not in self.known])
             get = self.known.__getitem__
             for parts in split:
                 yield b"".join(map(get, parts))
@@ -197,7 +221,7 @@ def _write(folder: str, path: str, bits: bool):
             if out is None and batch.num_rows:
                 system.create_dir(where, recursive=True)
                 out = Writer(system.open_output_stream(f"{where}/{name}", compression=None), bits=bits)
-            for doc, ids in zip(batch.column("id").to_pylist(), encoder.encode(as_bytes(batch.column("text")))):
+            for doc, ids in zip(batch.column("id").to_pylist(), encoder.encode([t or "" for t in batch.column("text").to_pylist()])):
                 ids = np.concatenate([np.frombuffer(ids, "<u4"), end])
                 out.add(doc, ids)
                 docs += 1
