@@ -13,13 +13,13 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import LONG, STRING, fresh, small_batches, struct
 
-#: Lines of fewer words are too common in clean prose to be copies.
+#: Lines of fewer words are left alone where a caller names no other number; 1 exempts blank lines only.
 MIN_WORDS = 5
 _LINE = struct(no=LONG, start=LONG, end=LONG, high=LONG, low=LONG)
 
@@ -38,10 +38,10 @@ def lines_of(text: str | None, min_words: int = MIN_WORDS) -> list[dict]:
     return out
 
 
-@F.arrow_udf(T.ArrayType(_LINE))
-def _lines(texts: pa.Array) -> pa.Array:
+def _lines(text_col: str, min_words: int) -> Column:
     shape = pa.list_(pa.struct([(k, pa.int64()) for k in ("no", "start", "end", "high", "low")]))
-    return pa.array([lines_of(t) for t in texts.to_pylist()], shape)
+    look = lambda texts: pa.array([lines_of(t, min_words) for t in texts.to_pylist()], shape)
+    return F.arrow_udf(look, T.ArrayType(_LINE))(text_col)
 
 
 def without(text: str, spans: list[dict] | None) -> str:
@@ -58,13 +58,13 @@ def _kept(texts: pa.Array, spans: pa.Array) -> pa.Array:
     return pa.array([None if t is None else without(t, s) for t, s in zip(texts.to_pylist(), spans.to_pylist())], pa.string())
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, mark, spans): the lines of each text that stand earlier in the corpus, with where the first one stands.
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, mark, spans): the lines of each text, of ``min_words`` or more, that stand earlier in the corpus, with where the first one stands.
 
     mark: xxhash64 of the text; rows equal in id and text are one document here.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.explode(_lines(text_col)).alias("l"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.explode(_lines(text_col, min_words)).alias("l"))
     rows = rows.select("id", "mark", "l.*")
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "mark", "no")
     first = rows.groupBy("high", "low").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first <> last").drop("last")
@@ -73,13 +73,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return again.groupBy("id", "mark").agg(F.sort_array(F.collect_set(span)).alias("spans"))
 
 
-def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans: str = "removed") -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans: str = "removed", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated lines taken out of the text, and a column of the removed spans at their original offsets.
 
-    Lines of fewer than five words are left alone. A null text stays null, an empty one empty; ids that are null rank
+    Lines of fewer than ``min_words`` words are left alone; with 1, every line that isn't blank counts. A null text stays null, an empty one empty; ids that are null rank
     last; of rows equal in id and text all keep what one would. The column of spans is named anew if ``docs`` has it.
     """
     spans, key, mark = (fresh(c, docs.columns) for c in (spans, "dedup_id", "dedup_mark"))
-    found = repeated_lines(docs, id_col, text_col).select(F.col("id").alias(key), F.col("mark").alias(mark), F.col("spans").alias(spans))
+    found = repeated_lines(docs, id_col, text_col, min_words).select(F.col("id").alias(key), F.col("mark").alias(mark), F.col("spans").alias(spans))
     on = F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text_col) == F.col(mark))
     return docs.join(found, on, "left").drop(key, mark).withColumn(text_col, _kept(F.col(text_col), F.col(spans)))

@@ -21,7 +21,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = line_dedup.remove_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = line_dedup.remove_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1)
     return rows.selectExpr("doc_id", "text", "cast(coalesce(size(removed), 0) as long) AS n_removed", "removed")
 
 
