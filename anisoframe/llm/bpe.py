@@ -32,6 +32,8 @@ _SPACE = "\t-\r \x85\xa0  -     　"
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CHUNKS = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _NONE = np.int64(1) << 62
+#: Low bits of a leaf that hold the place; the 22 above them are left for the rank.
+PLACE_BITS = 40
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -62,7 +64,7 @@ class MergeTrees:
     @staticmethod
     def _leaf(rank: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Rank and then place, so that the smallest leaf is the leftmost lowest rank."""
-        return np.where(rank < 0, _NONE, (rank << 20) + place)
+        return np.where(rank < 0, _NONE, (rank << PLACE_BITS) + place)
 
     def _update(self, rows: np.ndarray, places: np.ndarray) -> None:
         """Leaves at the places, from the symbols there and after, and all above them."""
@@ -80,9 +82,9 @@ class MergeTrees:
         live = np.flatnonzero(self.tree[:, 1] < _NONE)
         width = self.words.shape[1]
         while len(live):
-            at = self.tree[live, 1] & ((1 << 20) - 1)
+            at = self.tree[live, 1] & ((1 << PLACE_BITS) - 1)
             gone = self.after[live, at]
-            self.words[live, at] = self.merges.merged(self.tree[live, 1] >> 20)
+            self.words[live, at] = self.merges.merged(self.tree[live, 1] >> PLACE_BITS)
             self.words[live, gone] = -1
             self.tree[live, gone + self.width] = _NONE
             follow = self.after[live, gone]
