@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -18,7 +19,10 @@ def struct(**fields: T.DataType) -> T.StructType:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session (``spark.checkpoint.dir``); a temporary one only where none is set."""
+    """The shared folder of the session (``spark.checkpoint.dir``); a temporary one where none is set and the master is local.
+
+    On a cluster a folder of one machine is of no use to the others, so that a missing setting is an error there.
+    """
     sc = spark.sparkContext
     given = spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
@@ -27,6 +31,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(given)
         return given
     if current is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
         current = sc.getCheckpointDir()
     return current
@@ -51,15 +57,46 @@ def as_bytes(texts: pa.Array) -> list[bytes]:
     return [b if b is not None else b"" for b in texts.cast(pa.large_binary()).to_pylist()]
 
 
-#: Rows of an Arrow batch; whole texts are long, and a task holds a batch on either side at once.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch; whole texts are long, and a task holds a batch on either side at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: Bits of the sets that go to all tasks, at most: 16 MB as words of 64.
+SET_BITS = 1 << 27
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Have the session send at most ``rows`` rows and ``BATCH_BYTES`` bytes to Python at once; smaller settings stay.
+
+    Plans are run after the call that makes them returns, so the settings can't be put back here.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(spark.conf.get(key).rstrip("bB")) <= most:
+            spark.conf.set(key, str(most))
+
+
+class Members:
+    """A bit set of long values (hashes) that is broadcast: tells for sure what is no member, and else likely what is.
+
+    It has 16 bits for each value, but no more than ``SET_BITS``; beyond that it lets more through, never less. Joined by
+    words of 64 bits, so that rows are tested by Spark's own expressions.
+    """
+
+    def __init__(self, values: DataFrame, column: str):
+        n = values.count()
+        self.bits = min(SET_BITS, 1 << max(12, (16 * n).bit_length()))
+        at = F.pmod(F.col(column), F.lit(self.bits))
+        words = values.groupBy(F.shiftright(at, 6).alias("__word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({column}, {self.bits}) & 63 AS int))")).alias("__set"))
+        self.words = F.broadcast(checkpointed(words))
+
+    def _on(self, column: str) -> Column:
+        at = F.pmod(F.col(column), F.lit(self.bits))
+        return (F.shiftright(at, 6) == F.col("__word")) & (F.getbit("__set", at.bitwiseAND(63).cast("int")) == 1)
 
+    def those_in(self, rows: DataFrame, column: str) -> DataFrame:
+        return rows.join(self.words, self._on(column), "left_semi")
 
-def small_batches(spark: SparkSession) -> None:
-    """Have the session send at most ``BATCH_ROWS`` rows to Python at once; a smaller setting of its own stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    def those_out(self, rows: DataFrame, column: str) -> DataFrame:
+        return rows.join(self.words, self._on(column), "left_anti")
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, html_extract, line_dedup, quality, simhash, suffix_dedup, token_planes, url_filter, warc
 
@@ -20,9 +21,16 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Sentences of fewer words don't count, and runs of repeated sentences of fewer words stay.
+SENTENCE_WORDS, RUN_WORDS = 3, 20
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = line_dedup.remove_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1)
-    return rows.selectExpr("doc_id", "text", "cast(coalesce(size(removed), 0) as long) AS n_removed", "removed")
+    """(doc_id, text, n_removed, n_units, removed): characters and sentences that went, and where they stood."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = line_dedup.remove_repeated_lines(docs, min_words=SENTENCE_WORDS, sentences=True, run_words=RUN_WORDS)
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return rows.select("doc_id", "text", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_units"), "removed")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
