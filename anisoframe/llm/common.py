@@ -99,5 +99,24 @@ class Members:
         return rows.join(self.words, self._on(column), "left_anti")
 
 
+#: Rows of a table below which no key can be too much for one task.
+FEW = 100_000
+
+
+def join_hot(rows: DataFrame, one: DataFrame, keys: list[str], total: int, count: str = "n", how: str = "inner") -> DataFrame:
+    """Join of ``rows`` with a table of one row for each key, ``count`` of which add up to ``total`` at most.
+
+    Keys with more than a thousandth of the total, of which there are fewer than a thousand, are joined by broadcast, so
+    that no task gets more of one key than that. Both sides are read twice: they should be written tables. Where the
+    total is small a plain join does. how: inner or left.
+    """
+    if total <= FEW:
+        return rows.join(one, keys, how)
+    limit = total // 1000
+    hot = one.where(F.col(count) > limit)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(one.where(F.col(count) <= limit), keys, how))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-Every step is a grouped minimum and a join, so a hub's edges never meet in one task beyond what a skewed join can split,
-and the number of rounds grows with the logarithm of the longest chain.
+Every step is a grouped minimum, combined before the shuffle, and a join in which nodes with more than a thousandth of the
+edges get their minimum by broadcast, so that a hub's edges don't meet in one task. The number of rounds grows with the
+logarithm of the longest chain.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import FEW, checkpointed, join_hot
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -26,11 +27,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     before = _state(edges)
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_hot(both.where("v > u"), low, ["u"], 2 * before[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.distinct() if before[0] <= FEW else checkpointed(large.distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = (
-            large.join(low, "u")
+            join_hot(large, low, ["u"], before[0])
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v").where("u <> v").distinct()
         )

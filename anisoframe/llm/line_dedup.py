@@ -7,9 +7,9 @@ another line is found, and a short phrase that everyone uses stays. The spans th
 text.
 
 Digests are counted first, with partial sums before the shuffle. A bit set of those that repeat keeps nearly all other
-units from being shuffled again; what passes is written once and used for both the grouped minimum and the join. The
-thousand most common digests (no other has more than a thousandth of the rows) meet their first place by broadcast, so a
-line that stands in a third of all documents is no hot spot. Texts without a repeat aren't shuffled.
+units from being shuffled again; what passes is written once and used for both the grouped minimum and the join. Digests
+with more than a thousandth of these rows meet their first place by broadcast, so a line that stands in a third of all
+documents is no hot spot. Texts without a repeat aren't shuffled.
 """
 
 from __future__ import annotations
@@ -24,13 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LONG, STRING, Members, checkpointed, fresh, small_batches, struct
+from .common import LONG, STRING, Members, checkpointed, fresh, join_hot, small_batches, struct
 from .files import new_folder
 
 #: Lines of fewer words are left alone where a caller names no other number; 1 exempts blank lines only.
 MIN_WORDS = 5
-#: Digests whose first place is broadcast.
-COMMON = 1000
 _UNIT = struct(no=LONG, start=LONG, end=LONG, words=LONG, high=LONG, low=LONG)
 _END = re.compile(r"[.!?…]+[\"')\]»”’]*\s+|[。！？]+\s*|\n")
 
@@ -115,11 +113,7 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "mark", "no")
     first = rows.groupBy("high", "low").agg(F.min(rank).alias("first"), F.max(rank).alias("last"), F.count("*").alias("n"))
     first = checkpointed(first.where("first <> last").select("high", "low", "first", "n"))
-    hot = checkpointed(first.orderBy(F.desc("n"), "high", "low").limit(COMMON))
-    known = F.broadcast(hot.select("high", "low", "first"))  # COMMON rows at most
-    met = rows.join(known, ["high", "low"]).unionByName(
-        rows.join(F.broadcast(hot.select("high", "low")), ["high", "low"], "left_anti").join(first.select("high", "low", "first"), ["high", "low"])
-    )
+    met = join_hot(rows, first, ["high", "low"], rows.count())
     span = F.struct("no", "start", "end", "words", F.col("first.id").alias("first_id"), F.col("first.no").alias("first_no"))
     return met.where(rank != F.col("first")).groupBy("id", "mark").agg(F.sort_array(F.collect_set(span)).alias("spans"))
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LONG, as_bytes, checkpointed, fresh, small_batches
+from .common import LONG, as_bytes, checkpointed, fresh, join_hot, small_batches
 from .components import connected_components
 
 #: Bits of the six blocks, from the lowest.
@@ -52,9 +52,10 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
     return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(votes), bitorder="little").view(np.uint64)[0])
 
 
-@F.arrow_udf(LONG)
-def _fingerprints(texts: pa.Array) -> pa.Array:
-    return pa.array(np.array([fingerprint(b) for b in as_bytes(texts)], np.uint64).view(np.int64))
+def fingerprints(text_col: str, shingle: int = 4) -> Column:
+    """Fingerprints of a text column, as longs."""
+    look = lambda texts: pa.array(np.array([fingerprint(b, shingle) for b in as_bytes(texts)], np.uint64).view(np.int64))
+    return F.arrow_udf(look, LONG)(text_col)
 
 
 class BKTree:
@@ -161,13 +162,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``docs`` are not read. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    rows = checkpointed(docs.select(F.col(id_col).alias("id"), _fingerprints(F.col(text_col)).alias("fp")))
-    values = rows.groupBy("fp").agg(F.min("id").alias("first"))
+    rows = checkpointed(docs.select(F.col(id_col).alias("id"), fingerprints(text_col).alias("fp")))
+    values = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")))
     roots = connected_components(near_links(values, radius))
-    member = values.join(roots, values.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = member.join(smallest, "root").select("fp", "component_id", "root")
-    return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id", "root")
+    member = values.join(roots, values.fp == roots.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
+    member = checkpointed(member)
+    smallest = member.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("members"))
+    named = join_hot(member, smallest, ["root"], member.count(), "members").select("fp", "component_id", "root", "n")
+    return join_hot(rows, checkpointed(named), ["fp"], rows.count()).select(F.col("id").alias(id_col), "fp", "component_id", "root")
 
 
 def hex_fingerprint(fp: str = "fp") -> Column:
@@ -180,7 +182,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     best = near.groupBy("root").agg(F.min(F.struct(id_col, "fp")).alias("best")).select("best.*")
     fp, ids = fresh("fp", docs.columns), fresh("best_id", docs.columns)
     best = best.select(F.col(id_col).alias(ids), F.col("fp").alias(fp + "_of"))
-    kept = docs.withColumn(fp, _fingerprints(F.col(text_col))).join(
+    kept = docs.withColumn(fp, fingerprints(text_col)).join(
         best, (F.col(fp) == F.col(fp + "_of")) & F.col(id_col).eqNullSafe(F.col(ids)), "left_semi"
     )
     if not near.groupBy(id_col, "fp").count().where("count > 1").isEmpty():  # repeated rows: only then a second shuffle
