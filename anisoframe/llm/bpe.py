@@ -3,7 +3,8 @@
 Texts are split into pretokens as the tokenizer's pattern says; each distinct pretoken is encoded once per task. Over a
 pretoken's symbols stands a segment tree whose leaves are the ranks of adjacent pairs. The root yields the leftmost
 lowest-rank merge; the merge changes at most three leaves, whose paths to the root are updated; this goes on until no
-pair can be merged. The trees of many pretokens are kept side by side in arrays, so that a step updates all of them.
+pair can be merged. The trees of many pretokens are kept side by side in arrays, so that a step updates all of them; a
+long pretoken is merged by itself.
 
 Texts are read a document at a time and all work is done where the rows are: no shuffle. The vocabulary (tokenizer file)
 is read by every task from the path that is given; it has a fixed size.
@@ -14,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -32,6 +34,8 @@ _SPACE = "\t-\r \x85\xa0  -     　"
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CHUNKS = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _NONE = np.int64(1) << 62
+#: Bytes from which a pretoken has a tree of its own.
+LONG_WORD = 512
 #: Low bits of a leaf that hold the place; the 22 above them are left for the rank.
 PLACE_BITS = 40
 
@@ -100,11 +104,55 @@ class MergeTrees:
         return self.words
 
 
+def merge_one(symbols: np.ndarray, merges: PairTable) -> np.ndarray:
+    """The symbols of one long word after all its merges, by the same tree: one word at a time, so that a merge costs the
+    paths of three leaves and no more, whatever the length."""
+    n = len(symbols)
+    width = 1 << max(1, (n - 1).bit_length())
+    tree = np.full(2 * width, _NONE)
+    tree[width : width + n - 1] = MergeTrees._leaf(merges.ranks(symbols[:-1], symbols[1:]), np.arange(n - 1))
+    for start in (width >> k for k in range(1, width.bit_length())):
+        tree[start : 2 * start] = np.minimum(tree[2 * start : 4 * start : 2], tree[2 * start + 1 : 4 * start : 2])
+    tree, words, none = array("q", tree.tobytes()), array("q", symbols.astype(np.int64).tobytes()), int(_NONE)
+    after, before = array("q", np.arange(1, n + 1).tobytes()), array("q", np.arange(-1, n - 1).tobytes())
+    rank, size, results, low = merges.rank_of(), merges.size, merges.results.tolist(), (1 << PLACE_BITS) - 1
+
+    def put(place: int, leaf: int) -> None:
+        i = width + place
+        tree[i] = leaf
+        while i > 1:
+            i >>= 1
+            a, b = tree[2 * i], tree[2 * i + 1]
+            least = a if a < b else b
+            if tree[i] == least:
+                return
+            tree[i] = least
+
+    def pair(place: int) -> int:
+        follow = after[place]
+        found = rank.get(words[place] * size + words[follow]) if follow < n else None
+        return none if found is None else (found << PLACE_BITS) + place
+
+    while (top := tree[1]) < none:
+        at = top & low
+        gone = after[at]
+        words[at], words[gone] = results[top >> PLACE_BITS], -1
+        follow = after[at] = after[gone]
+        if follow < n:
+            before[follow] = at
+        put(gone, none)
+        put(at, pair(at))
+        if before[at] >= 0:
+            put(before[at], pair(before[at]))
+    out = np.frombuffer(words, np.int64)
+    return out[out >= 0]
+
+
 class PairTable:
     """Ranks and results of pairs of symbols."""
 
     def __init__(self, pairs: np.ndarray, results: np.ndarray, size: int):
-        self.size, self.results = size, results
+        self.size, self.results, self._rank_of = size, results, None
         key = pairs[:, 0] * size + pairs[:, 1]
         self.order = np.argsort(key, kind="stable")
         self.keys = key[self.order]
@@ -118,6 +166,12 @@ class PairTable:
     def merged(self, ranks: np.ndarray) -> np.ndarray:
         return self.results[ranks]
 
+    def rank_of(self) -> dict[int, int]:
+        """The rank by left * size + right."""
+        if self._rank_of is None:
+            self._rank_of = dict(zip(self.keys.tolist(), self.order.tolist()))
+        return self._rank_of
+
 
 class ByteBPE:
     """A byte-level tokenizer file (json): its vocabulary, merges and added tokens."""
@@ -148,7 +202,10 @@ class ByteBPE:
         out = [b""] * len(data)
         sizes = np.fromiter(map(len, data), np.int64, len(data))
         order = np.argsort(sizes, kind="stable")
-        at = 0
+        at, long = 0, np.searchsorted(sizes[order], LONG_WORD, side="right")
+        for i in order[long:].tolist():
+            out[i] = merge_one(self.byte_ids[np.frombuffer(data[i], np.uint8)], self.table).astype("<u4").tobytes()
+        order = order[:long]
         while at < len(order):
             width = 1 << max(2, int(sizes[order[at]] - 1).bit_length())
             end = min(int(np.searchsorted(sizes[order], width, side="right")), at + max(1, (1 << 17) // width))
@@ -240,7 +297,11 @@ def decoder(path: str) -> Callable:
 
 
 def measure(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of every row, from its ids and from what they decode to."""
+    """(id, n_tokens, ids_sha256, decoded_sha256) of every row, from its ids and from what they decode to.
+
+    A null text is read as an empty one, which has no ids. Texts and pretokens of any length are encoded whole. Repeated
+    rows and ids stay rows; other columns are not read; an empty table gives an empty result.
+    """
 
     def look(texts: pa.Array) -> pa.Array:
         own = tokenizer(path)

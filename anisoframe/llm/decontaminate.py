@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LONG, STRING, as_bytes, fresh, small_batches, struct
+from .common import LONG, STRING, as_bytes, checkpointed, fresh, small_batches, struct
 from .suffix_dedup import suffix_ranks
 
 WINDOW = 13
@@ -74,7 +74,8 @@ class FMIndex:
         self.tree = WaveletTree(self.bwt, top)
         self.before = np.concatenate([[0], np.cumsum(np.bincount(words, minlength=top + 1))])
         self.sampled = (order % sample == 0) | gap[order - 1] | (order == 0)
-        self.position = order
+        self.slot = np.cumsum(self.sampled) - 1  # of a sampled row among their positions
+        self.position = order[self.sampled]
 
     def search(self, patterns: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranges of rows of the patterns, one in each row of an array; backwards, a word of all patterns at a time."""
@@ -98,7 +99,7 @@ class FMIndex:
             rows[walk] = self.before[word] + self.tree.rank(word, rows[walk])
             steps[walk] += 1
             walk = walk[~self.sampled[rows[walk]]]
-        return self.position[rows] + steps
+        return self.position[self.slot[rows]] + steps
 
 
 class Windows:
@@ -173,29 +174,27 @@ def _search(block: Windows):
     return look
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int, window: int) -> list[Windows]:
-    total = benchmark.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-    n = 1 + total // size
-    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    parts = (rows.where(F.pmod(F.xxhash64("id"), F.lit(n)) == i) for i in range(n))
-    return [Windows([(r.id, bytes(r.text or b"")) for r in part.collect()], window) for part in parts]
-
-
-def found_in(text: Column, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block: int = BLOCK, window: int = WINDOW) -> Column:
-    """A column (n_words, n_hit, items, words): what the benchmark hits in a text.
+def with_found(docs: DataFrame, name: str, benchmark: DataFrame, doc_text: str = "text", id_col: str = "item_id", text_col: str = "text", block: int = BLOCK, window: int = WINDOW) -> DataFrame:
+    """``docs`` with a column (n_words, n_hit, items, words): what the benchmark hits in a text.
 
     A document word inside any occurrence of an item's window (``window`` consecutive words, or the whole of a shorter
     item) is hit; ``words`` are the merged spans of hit words. Null and empty texts have no words; items without words
     have no window; repeated items count once, and an item without id counts under an empty id.
+
+    The benchmark is searched in blocks of about ``block`` bytes. One block is with the driver and the tasks at a time:
+    after each but the last the rows are written with what was found so far.
     """
-    small_batches(benchmark.sparkSession)
-    out = None
-    for windows in _blocks(benchmark, id_col, text_col, block, window):
-        look = _search(windows)
-        if out is None:
-            out = F.arrow_udf(lambda texts, look=look: look(texts), FOUND)(text)
+    small_batches(docs.sparkSession)
+    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    n = 1 + items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // block
+    out = docs
+    for i in range(n):
+        part = items if n == 1 else items.where(F.pmod(F.xxhash64("id"), F.lit(n)) == i)
+        look = _search(Windows([(r.id, bytes(r.text or b"")) for r in part.collect()], window))  # a block
+        if i == 0:
+            out = out.withColumn(name, F.arrow_udf(lambda texts, look=look: look(texts), FOUND)(doc_text))
         else:
-            out = F.arrow_udf(lambda texts, found, look=look: look(texts, found), FOUND)(text, out)
+            out = checkpointed(out).withColumn(name, F.arrow_udf(lambda texts, found, look=look: look(texts, found), FOUND)(doc_text, name))
     return out
 
 
@@ -216,22 +215,25 @@ def _character_spans(texts: pa.Array, words: pa.Array) -> pa.Array:
 
 def removal_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id, n_words, n_hit, items, spans, contaminated) of every row; spans are character offsets of what is hit."""
-    rows = docs.select(id_col, text_col, found_in(F.col(text_col), benchmark, **options).alias("found"))
-    spans = _character_spans(text_col, "found.words").alias("spans")
-    return rows.select(id_col, "found.n_words", "found.n_hit", "found.items", spans, contaminated(F.col("found")).alias("contaminated"))
+    rows = with_found(docs.select(id_col, text_col), "__found", benchmark, text_col, **options)
+    spans = _character_spans(text_col, "__found.words").alias("spans")
+    return rows.select(id_col, "__found.n_words", "__found.n_hit", "__found.items", spans, contaminated(F.col("__found")).alias("contaminated"))
 
 
 def measure(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(id, n_words, n_hit, n_items, items_sha256, contaminated) of every row."""
-    rows = docs.select(id_col, found_in(F.col(text_col), benchmark, **options).alias("found"))
-    digest = F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256")
+    """(id, n_words, n_hit, n_items, items_sha256, contaminated) of every row.
+
+    Null and empty texts have no words and are clean; texts of any length are searched whole. Repeated rows and ids stay
+    rows, and other columns are not read. An empty table gives an empty result, an empty benchmark hits nothing.
+    """
+    rows = with_found(docs.select(id_col, text_col), "__found", benchmark, text_col, **options)
+    digest = F.sha2(F.array_join("__found.items", ","), 256).alias("items_sha256")
     return rows.select(
-        id_col, "found.n_words", "found.n_hit", F.size("found.items").cast("long").alias("n_items"), digest, contaminated(F.col("found")).alias("contaminated")
+        id_col, "__found.n_words", "__found.n_hit", F.size("__found.items").cast("long").alias("n_items"), digest, contaminated(F.col("__found")).alias("contaminated")
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the contaminated rows; others stay as they are."""
+    """``docs`` without the contaminated rows; others, repeated ones included, stay as they are."""
     name = fresh("found", docs.columns)
-    rows = docs.withColumn(name, found_in(F.col(text_col), benchmark, **options))
-    return rows.where(~contaminated(F.col(name))).select(*docs.columns)
+    return with_found(docs, name, benchmark, text_col, **options).where(~contaminated(F.col(name))).select(*docs.columns)

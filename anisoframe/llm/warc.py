@@ -11,6 +11,7 @@ file of any size is read by many tasks, and no index is needed.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import uuid
 import zlib
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, checkpointed, shuffle_width, small_batches
+from .common import Members, as_bytes, checkpointed, join_hot, shuffle_width, small_batches
 from .files import new_folder, opened
 
 #: Payloads below this size are never replaced by a revisit.
@@ -28,16 +29,17 @@ REVISIT_BYTES = 100
 SPLIT_BYTES = 8 << 20
 _MAGIC = b"\x1f\x8b\x08"
 _READ = 1 << 20
-_RECORD_SHAPE = "id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
+_RECORD_SHAPE = "id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary, record_id string, refers_to_id string, intact boolean"
 
 
 def _name(record: int | None) -> str:
     return f"<urn:x-record:{'none' if record is None else record}>"
 
 
-def _number(name: str) -> int | None:
-    value = name.strip("<>").rpartition(":")[2]
-    return None if value in ("", "none") else int(value)
+def _number(name: str | None) -> int | None:
+    """The id of a record of ours; names that other writers give have none."""
+    head, _, value = (name or "").strip("<>").rpartition(":")
+    return int(value) if head == "urn:x-record" and value.lstrip("-").isdigit() else None
 
 
 def member(record: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -45,7 +47,8 @@ def member(record: int | None, url: str | None, payload: bytes, digest: str, ref
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     revisit = refers_to is not None
     block = http if revisit else http + payload
-    clean = "".join(c for c in url or "" if c >= " ")
+    # A header is a line: control characters of a url are written as percent codes.
+    clean = "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in url or "")
     lines = [
         "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_name(record)}", "WARC-Date: 2000-01-01T00:00:00Z",
         *([f"WARC-Target-URI: {clean}"] if url is not None else []), f"WARC-Payload-Digest: sha256:{digest}",
@@ -57,21 +60,70 @@ def member(record: int | None, url: str | None, payload: bytes, digest: str, ref
     return pack.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
 
 
-def parse(record: bytes) -> dict:
-    """The fields of a decoded record."""
-    head, _, rest = record.partition(b"\r\n\r\n")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
-    block = rest[: int(fields["content-length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-    revisit = fields["warc-type"] == "revisit"
-    digest = fields["warc-payload-digest"].removeprefix("sha256:")
-    if not revisit and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
-        raise ValueError(f"record {fields['warc-record-id']} does not hold the payload it names")
-    return {
-        "id": _number(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "record_type": fields["warc-type"], "payload_digest": digest,
-        "payload_bytes": size, "refers_to": _number(fields["warc-refers-to"]) if revisit else None, "payload": None if revisit else payload,
-    }
+def _fields(head: bytes) -> dict[str, str]:
+    """Header fields by lower-case name; a line that starts with white space goes on with the one before."""
+    out, last = {}, None
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and last:
+            out[last] += " " + line.strip()
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            last = name.strip().lower()
+            out[last] = value.strip()
+    return out
+
+
+def _dechunked(body: bytes) -> bytes:
+    """The body of a chunked HTTP message; what follows no valid size is left out."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        size = body[at:end].split(b";")[0].strip()
+        if not size or any(c not in b"0123456789abcdefABCDEF" for c in size) or int(size, 16) == 0:
+            break
+        out.append(body[end + 2 : end + 2 + int(size, 16)])
+        at = end + 4 + int(size, 16)
+    return b"".join(out)
+
+
+def _digest_fits(given: str, payload: bytes) -> bool | None:
+    """Whether a labelled digest is the payload's; null for kinds that are not known."""
+    kind, _, value = given.partition(":")
+    if kind.lower() not in ("sha1", "sha256", "md5"):
+        return None
+    own = hashlib.new(kind.lower(), payload).digest()
+    return value.lower() == own.hex() or value.upper().rstrip("=") == base64.b32encode(own).decode().rstrip("=")
+
+
+def parse(record: bytes) -> list[dict]:
+    """The records of a decoded member, usually one.
+
+    Records of all types are returned. The payload of an HTTP response is its body, freed of chunks; of another record its
+    block. payload_digest is the SHA-256 of the payload, for a revisit what the record says of it without its label.
+    intact: whether the digest that the record gives fits the payload, null where that can't be told.
+    """
+    out = []
+    while record.startswith(b"WARC/"):
+        head, _, rest = record.partition(b"\r\n\r\n")
+        fields = _fields(head)
+        size = fields.get("content-length", "")
+        block = rest[: int(size)] if size.isdigit() else rest
+        record = rest[len(block) :].lstrip(b"\r\n")
+        kind, payload, stated = fields.get("warc-type", ""), block, None
+        if "application/http" in fields.get("content-type", "").lower():
+            http, _, payload = block.partition(b"\r\n\r\n")
+            inner = _fields(http)
+            stated = inner.get("content-length", "")
+            if "chunked" in inner.get("transfer-encoding", "").lower():
+                payload = _dechunked(payload)
+        given, revisit = fields.get("warc-payload-digest", ""), kind == "revisit"
+        length = int(stated) if stated and stated.isdigit() else None
+        out.append({
+            "id": _number(fields.get("warc-record-id")), "url": fields.get("warc-target-uri"), "record_type": kind,
+            "payload_digest": (given.rpartition(":")[2] or None) if revisit else hashlib.sha256(payload).hexdigest(),
+            "payload_bytes": length if revisit else len(payload), "refers_to": _number(fields.get("warc-refers-to")), "payload": None if revisit else payload,
+            "record_id": fields.get("warc-record-id"), "refers_to_id": fields.get("warc-refers-to"), "intact": None if revisit or not given else _digest_fits(given, payload),
+        })
+    return out
 
 
 def _write(folder: str):
@@ -105,8 +157,14 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
     large = F.octet_length("payload") >= REVISIT_BYTES
-    first = rows.where(large).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(first, "digest", "left")
+    first = rows.where(large).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = checkpointed(first)
+    # Only what occurs twice is shuffled, apart from very common payloads.
+    key = F.xxhash64("digest")
+    twice, rows = Members(first.select(key.alias("key")), "key"), rows.withColumn("key", key)
+    total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    again = join_hot(twice.those_in(rows, "key"), first, ["digest"], total, how="left")
+    rows = twice.those_out(rows, "key").withColumn("first", F.lit(None).cast("long")).unionByName(again.drop("n"))
     refers = F.when(large & (F.col("id") > F.col("first")), F.col("first"))
     files = rows.select("id", "url", "payload", "digest", refers.alias("refers_to")).mapInArrow(_write(folder), "file string, size long")
     return checkpointed(files)
@@ -169,16 +227,15 @@ def _read(payloads: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow as pa
 
-        shape = pa.schema([("id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+        shape = pa.schema([("id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("record_id", pa.string()), ("refers_to_id", pa.string()), ("intact", pa.bool_())])
         for batch in batches:
             for part in batch.to_pylist():
                 system, path = opened(part["file"])
                 rows, size = [], 0
                 with system.open_input_file(path) as handle:
                     for record in members(handle, part["start"], part["end"]):
-                        row = parse(record)
                         size += len(record)
-                        rows.append(row if payloads else row | {"payload": None})
+                        rows += [row if payloads else row | {"payload": None} for row in parse(record)]
                         if size > 16 << 20:
                             yield pa.RecordBatch.from_pylist(rows, shape)
                             rows, size = [], 0
@@ -188,9 +245,10 @@ def _read(payloads: bool):
 
 
 def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool = True) -> DataFrame:
-    """The records of archives (file, size): id, url, record_type, payload_digest, payload_bytes, refers_to, payload.
+    """The records of archives (file, size), as ``parse`` describes them, those of other writers included.
 
-    Revisits have no payload of their own. Without ``payloads`` those are checked but not returned.
+    id and refers_to are set for records of ``write_warc``; record_id and refers_to_id are the names themselves. Revisits
+    have no payload of their own. Without ``payloads`` those are read but not returned. Empty files have no records.
     """
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.col("size") - 1), F.lit(split_bytes).cast("long")))
     parts = files.select("file", "size", starts.alias("start")).withColumn("end", F.least("size", F.col("start") + split_bytes))
