@@ -50,7 +50,7 @@ VOCABULARY = 100_000
 #: Share of all words that the seed words are taken to have, in the segmentation and for either class.
 SEEDS = 0.5
 #: Smoothing of the classes' counts, how often a word must be seen to say anything, and words that a class has in common with all.
-ALPHA, SEEN, LIKE_ALL = 0.2, 3, 50
+ALPHA, SEEN, LIKE_ALL = 0.02, 3, 10
 #: Log odds that a url is bad before its words are read; the share of seed names in the data isn't that of bad ones.
 PRIOR = math.log(0.1 / 0.9)
 _TOKEN = re.compile(r"[a-z]+")
@@ -141,7 +141,8 @@ class HostModel:
         even = SEEDS / len([*bad_seeds, *plain])
 
         def share(k: int, w: str, seeds: set[str]) -> float:
-            own = count((bad, fine)[k], w) + LIKE_ALL * (count(bad, w) + count(fine, w)) / total + ALPHA
+            all_ = 0 if w in self.seeds else (count(bad, w) + count(fine, w)) / total  # seed words define their class
+            own = count((bad, fine)[k], w) + LIKE_ALL * all_ + ALPHA
             return (1 - SEEDS) * own / sums[k] + even * (w in seeds)
 
         both, plain = {*bad_seeds, *plain}, set(plain)
