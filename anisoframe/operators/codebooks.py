@@ -15,6 +15,8 @@ from .running import running_totals
 BINS = 65536
 #: Most entries of a vector codebook, and so of what is sent to all tasks.
 ENTRIES = 262_144
+#: Rows and codes that are compared at once.
+ROWS, TILE = 1024, 4096
 
 
 def codebook_size(n: int, entries: int | None = None) -> int:
@@ -69,17 +71,21 @@ def scalar_label(value: Column, codebook: Column) -> Column:
 
 
 def sample_step(rows: DataFrame, weight: str, size: int) -> float:
-    """The step that takes about ``size`` rows, from sums in powers-of-two buckets of weight (a few dozen rows)."""
+    """The step at which ``weighted_sample`` takes about ``size`` rows.
+
+    Rows are counted and summed in buckets of nearly equal weight. With the k heaviest buckets taken whole, the others fill
+    the rest of the sample at a step of their sum over the places left; that holds for the first k whose step reaches the
+    next bucket's mean weight. If all rows are wanted the step is smaller than any weight.
+    """
     buckets = rows.where(F.col(weight) > 0).groupBy(F.floor(F.log2(weight) * 16).alias("b")).agg(F.count("*").alias("n"), F.sum(weight).alias("s"))
-    found = [(r.n, r.s) for r in buckets.collect()]  # bounded by the exponents that doubles have
-    low, step = 0.0, sum(s for _, s in found) / max(1, size)
-    for _ in range(64):
-        middle = (low + step) / 2
-        if middle > 0 and sum(n if s >= middle * n else s / middle for n, s in found) > size:
-            low = middle
-        else:
-            step = middle
-    return step
+    found = buckets.select("n", "s", (F.col("s") / F.col("n")).alias("mean")).orderBy(F.desc("mean")).collect()  # bounded by the exponents of doubles
+    if not found:
+        return 1.0
+    n, s, mean = (np.array([r[c] for r in found], float) for c in ("n", "s", "mean"))
+    places, light = size - (np.cumsum(n) - n), np.cumsum(s[::-1])[::-1]
+    step = np.divide(light, places, out=np.full(len(n), np.inf), where=places > 0)
+    fits = np.flatnonzero(step >= mean)
+    return float(step[fits[0]]) if len(fits) and size < n.sum() else float(np.finfo(float).tiny)
 
 
 def weighted_sample(rows: DataFrame, weight: str, order: list[str], size: int | None = None, step: float | None = None) -> DataFrame:
@@ -98,16 +104,19 @@ def seeds(vectors: DataFrame, entries: int, key: str = "id", vector: str = "v")
     """Evenly spaced rows in the order of their key, as a matrix."""
     placed = running_totals(vectors.select(key, vector), [key], {"__place": F.lit(1).cast("long")})
     n = placed.agg(F.max("__place")).first()[0] or 0
-    want = [1 + (i * n) // entries for i in range(entries)]
-    rows = placed.where(F.col("__place").isin(want)).orderBy("__place").collect()  # as many as entries
-    return np.array([r[vector] for r in rows], np.float64)
+    spark = vectors.sparkSession
+    want = spark.range(entries).select((F.lit(1) + F.floor(F.col("id") * F.lit(n) / F.lit(entries))).cast("long").alias("__place"), F.col("id").alias("__entry"))
+    rows = placed.join(F.broadcast(want), "__place").orderBy("__entry").select(vector).toArrow()  # as many as entries, of ENTRIES at most
+    flat = rows.column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.float64).reshape(rows.num_rows, -1)
 
 
 def nearest_codes(vectors: DataFrame, codes: np.ndarray, vector: str = "v", probes: int | None = None) -> DataFrame:
     """``vectors`` with the label of the nearest code and the squared distance; the smaller label of equals.
 
-    The codebook goes to every task, so its size is checked. probes: codes are put in about sqrt(n) groups and only so
-    many groups, those with the nearest centres, are searched.
+    The codebook goes to every task, so its size is checked; rows are compared with ``TILE`` codes at a time and keep the
+    best so far. probes: codes are put in about sqrt(n) groups and only so many groups, those with the nearest centres, are
+    scored for a row.
     """
     if len(codes) > ENTRIES:
         raise ValueError(f"a codebook has at most {ENTRIES} entries")
@@ -117,31 +126,63 @@ def nearest_codes(vectors: DataFrame, codes: np.ndarray, vector: str = "v", prob
 
     def run(batches):
         book = shared.value
-        norms = (book * book).sum(axis=1)
-        groups = None
-        if probes is not None and len(book) > probes:
-            pick = book[np.linspace(0, len(book) - 1, max(1, int(len(book) ** 0.5))).astype(int)]
-            groups = pick, ((book[:, None, :] - pick[None]) ** 2).sum(axis=2).argmin(axis=1)
+        search = Search(book, probes)
         for batch in batches:
             flat = batch.column(at).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             x = flat.reshape(batch.num_rows, -1)
-            label, best = np.zeros(len(x), np.int32), np.zeros(len(x))
-            for s in range(0, len(x), 4096):
-                part = x[s : s + 4096]
-                score = norms[None] - 2 * part @ book.T
-                if groups is not None:
-                    near = ((part[:, None, :] - groups[0][None]) ** 2).sum(axis=2)
-                    open_ = np.argsort(near, axis=1)[:, :probes]
-                    mask = np.zeros(near.shape, bool)
-                    np.put_along_axis(mask, open_, True, axis=1)
-                    score = np.where(mask[:, groups[1]], score, np.inf)
-                label[s : s + 4096] = score.argmin(axis=1)
-                best[s : s + 4096] = ((part - book[label[s : s + 4096]]) ** 2).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(label), pa.array(best)], names=[*batch.schema.names, "label", "distance"])
+            label = np.concatenate([np.zeros(0, np.int32), *(search(x[s : s + ROWS]) for s in range(0, len(x), ROWS))]).astype(np.int32)
+            distance = ((x - book[label]) ** 2).sum(axis=1) if len(x) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(label), pa.array(distance)], names=[*batch.schema.names, "label", "distance"])
 
     return vectors.mapInArrow(run, schema)
 
 
+class Search:
+    """Nearest codes of rows, in tiles of codes, or in the groups with the nearest centres only."""
+
+    def __init__(self, book: np.ndarray, probes: int | None = None):
+        self.book, self.norms, self.probes, self.centres = book, (book * book).sum(axis=1), probes, None
+        if probes is not None and len(book) > probes:
+            self.centres = book[np.linspace(0, len(book) - 1, max(1, int(len(book) ** 0.5))).astype(int)]
+            group = Search(self.centres).all(book)
+            self.members = np.argsort(group, kind="stable")
+            self.ends = np.searchsorted(group[self.members], np.arange(len(self.centres) + 1))
+
+    def best(self, x: np.ndarray, which: np.ndarray, least: np.ndarray, label: np.ndarray) -> None:
+        """Compare rows with the codes at ascending places; what is nearer, or as near with a smaller label, is kept."""
+        for s in range(0, len(which), TILE):
+            part = which[s : s + TILE]
+            score = self.norms[part][None] - 2 * x @ self.book[part].T
+            k = score.argmin(axis=1)
+            found, to = score[np.arange(len(x)), k], part[k]
+            better = (found < least) | (found == least) & (to < label)
+            least[better], label[better] = found[better], to[better]
+
+    def all(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *(self(x[s : s + ROWS]) for s in range(0, len(x), ROWS))])
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        least, label = np.full(len(x), np.inf), np.full(len(x), len(self.book), np.int64)
+        if self.centres is None:
+            self.best(x, np.arange(len(self.book)), least, label)
+            return label
+        near = (self.centres * self.centres).sum(axis=1)[None] - 2 * x @ self.centres.T
+        open_ = np.argpartition(near, min(self.probes, near.shape[1]) - 1, axis=1)[:, : self.probes]
+        rows, groups = np.repeat(np.arange(len(x)), open_.shape[1]), open_.ravel()
+        order = np.argsort(groups, kind="stable")
+        for g, own in zip(np.unique(groups), np.split(rows[order], np.flatnonzero(np.diff(groups[order])) + 1)):
+            a, b = least[own], label[own]
+            self.best(x[own], self.members[self.ends[g] : self.ends[g + 1]], a, b)
+            least[own], label[own] = a, b
+        # Where all groups that were searched are empty every code is compared.
+        none = np.flatnonzero(label == len(self.book))
+        if len(none):
+            a, b = least[none], label[none]
+            self.best(x[none], np.arange(len(self.book)), a, b)
+            label[none] = b
+        return label
+
+
 def k_means(vectors: DataFrame, codes: np.ndarray, iterations: int = 10, weight: Column | None = None, vector: str = "v") -> tuple[np.ndarray, DataFrame]:
     """(codes, labelled rows) after weighted Lloyd steps; an entry without rows stays, and nothing moving ends it early.
 

@@ -90,18 +90,20 @@ def regions(rows: DataFrame, limit: int, key: str = "id", depth: int = 48) -> Da
 
 def packed_leaves(leaves: DataFrame, limit: int, group: str = "level", order: str = "leaf", size: str = "size") -> DataFrame:
     """``leaves`` with a chunk number: filled in order, a leaf that no longer fits opens the next. One row is a leaf's
-    metadata; a level's are folded in one array."""
-    fold = F.aggregate(
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))),
-        F.struct(F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<o:long,c:long>>").alias("out")),
-        lambda a, x: F.struct(
-            F.when((a["used"] > 0) & (a["used"] + x["s"] > limit), a["c"] + 1).otherwise(a["c"]).alias("c"),
-            F.when((a["used"] > 0) & (a["used"] + x["s"] > limit), x["s"]).otherwise(a["used"] + x["s"]).alias("used"),
-            F.concat(a["out"], F.array(F.struct(x["o"].cast("long").alias("o"), F.when((a["used"] > 0) & (a["used"] + x["s"] > limit), a["c"] + 1).otherwise(a["c"]).alias("c")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    return leaves.groupBy(group).agg(fold.alias("f")).select(group, F.explode("f").alias("e")).select(group, F.col("e.o").alias(order), F.col("e.c").alias("chunk"))
+    metadata; a level's are read in one pass by one task."""
+    kinds = {c: leaves.schema[c].dataType.simpleString() for c in (group, order)}
+
+    def fill(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(order)
+        chunk, used, out = 0, 0, []
+        for s in rows[size].to_pylist():
+            if used and used + s > limit:
+                chunk, used = chunk + 1, 0
+            used += s
+            out.append(chunk)
+        return pa.table({group: rows[group], order: rows[order], "chunk": pa.array(out, pa.int64())})
+
+    return leaves.select(group, order, F.col(size).cast("long").alias(size)).groupBy(group).applyInArrow(fill, f"{group} {kinds[group]}, {order} {kinds[order]}, chunk long")
 
 
 def with_covariance(rows: DataFrame) -> DataFrame:
@@ -235,6 +237,27 @@ def assigned(rows: DataFrame, representatives: DataFrame, radius: float, key: st
     return rows.select(key).join(best, key, "left")
 
 
+def assigned_in_tiers(rows: DataFrame, representatives: DataFrame, radii: list[float], key: str = "id") -> DataFrame:
+    """(key, rep, distance) of every row: its nearest representative, ties to the smaller id.
+
+    The first radius is tried for all rows, the next ones for those that found none, so that cells stay as small as most
+    rows allow; rows beyond the last radius have null.
+    """
+    rest, out = rows, None
+    for i, radius in enumerate(radii):
+        found = checkpointed(assigned(rest, representatives, radius, key))
+        done = found if i == len(radii) - 1 else found.where("rep IS NOT NULL")
+        out = done if out is None else out.unionByName(done)
+        rest = rest.join(found.where("rep IS NULL").select(key), key, "left_semi")
+    return out
+
+
+def first_of_cells(rows: DataFrame, side: float, key: str = "id") -> DataFrame:
+    """The row with the smallest id of each cell."""
+    best = rows.groupBy(*(F.floor(F.col(a) / lit(side)) for a in AXES)).agg(F.min(key).alias(key)).select(key)
+    return rows.join(best, key, "left_semi")
+
+
 def cell_medoids(rows: DataFrame, side: float, key: str = "id") -> DataFrame:
     """One representative of each cell: of the rows nearest to its weighted mean that with the smallest id."""
     cells = {f"c{a}": F.floor(F.col(a) / lit(side)) for a in AXES}

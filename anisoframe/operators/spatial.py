@@ -40,16 +40,13 @@ def union_bounds(bounds: DataFrame, *keys: str) -> DataFrame:
     return bounds.groupBy(*keys).agg(*(F.min(f"min_{a}").alias(f"min_{a}") for a in AXES), *(F.max(f"max_{a}").alias(f"max_{a}") for a in AXES))
 
 
-def _spread(v: Column) -> Column:
-    """Ten bits with two zero bits between them."""
-    for shift, mask in ((16, 0x030000FF), (8, 0x0300F00F), (4, 0x030C30C3), (2, 0x09249249)):
-        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(mask)
-    return v
-
-
-def interleaved(cells: list[Column]) -> Column:
-    x, y, z = (_spread(c.cast("long")) for c in cells)
-    return x.bitwiseOR(F.shiftleft(y, 1)).bitwiseOR(F.shiftleft(z, 2))
+def interleaved(cells: list[Column], bits: int = 10) -> Column:
+    """The bits of three numbers in turn. The cells should be columns: each is written out once for each bit."""
+    out = F.lit(0).cast("long")
+    for axis, c in enumerate(cells):
+        for k in range(bits):
+            out = out.bitwiseOR(F.shiftleft(c.bitwiseAND(F.lit(1 << k).cast("long")), 2 * k + axis))
+    return out
 
 
 def cell(p: Column, low: Column, high: Column, cells: int = CELLS) -> Column:
@@ -63,9 +60,10 @@ def with_morton(rows: DataFrame, name: str = "morton") -> DataFrame:
     """``rows`` with the 30-bit Morton code of their centre within the bounds of all; what isn't finite has the last code."""
     bounds = F.broadcast(centre_bounds(rows).select(*(F.col(f"{n}_{a}").alias(f"__{n}_{a}") for n in ("min", "max") for a in AXES)))  # one row
     fine = finite_centre()
-    codes = [cell(F.when(fine, F.col(a)), F.col(f"__min_{a}"), F.col(f"__max_{a}")) for a in AXES]
-    code = F.when(fine, interleaved(codes)).otherwise(F.lit(LAST).cast("long"))
-    return rows.join(bounds, F.lit(True), "left").withColumn(name, code).select(*rows.columns, name)
+    cells = {f"__c{a}": cell(F.when(fine, F.col(a)), F.col(f"__min_{a}"), F.col(f"__max_{a}")) for a in AXES}
+    code = F.when(fine, interleaved([F.col(c) for c in cells])).otherwise(F.lit(LAST).cast("long"))
+    # The cells are a projection of their own, so that they aren't worked out once for each bit.
+    return rows.join(bounds, F.lit(True), "left").withColumns(cells).withColumn(name, code).select(*rows.columns, name)
 
 
 def morton_ordered(rows: DataFrame, key: str = "id") -> DataFrame:

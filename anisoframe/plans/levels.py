@@ -34,15 +34,15 @@ def pps_sample(spark, sf_dir):
 
 
 def _vectors(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.slice(F.col("embedding").cast("array<double>"), 1, 9).alias("v"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
 
 
-@query(f"""WITH v AS (SELECT vec_id AS id, [CAST(x AS DOUBLE) FOR x IN embedding[1:9]] AS v FROM embeddings), n AS (SELECT id, v, row_number() OVER (ORDER BY id)-1 AS k, count(*) OVER () AS n FROM v),
-c AS (SELECT e AS label, v AS code FROM n, range(16) t(e) WHERE k = (e*n)//16), d AS (SELECT id, v, label, row_number() OVER (PARTITION BY id ORDER BY list_distance(v, code), label) AS k FROM v, c),
-a AS (SELECT label, v FROM d WHERE k = 1), u AS (SELECT label, unnest(range(1, 10)) AS i, unnest(v) AS x FROM a) SELECT CAST(label AS INTEGER) AS label, i, count(*) AS n, {fx('avg(x)')} AS mean FROM u GROUP BY 1, 2""")
+@query(f"""WITH v AS (SELECT vec_id AS id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings), n AS (SELECT id, v, row_number() OVER (ORDER BY id)-1 AS k, count(*) OVER () AS n, (count(*) OVER () + 7)//8 AS m FROM v),
+c AS (SELECT e AS label, v AS code FROM n, range(262144) t(e) WHERE e < m AND k = (e*n)//m), d AS (SELECT id, v, min(struct_pack(d := list_distance(v, code), label := label)).label AS label FROM v, c GROUP BY id, v),
+u AS (SELECT label, unnest(range(1, 65)) AS i, unnest(v) AS x FROM d) SELECT CAST(label AS INTEGER) AS label, i, count(*) AS n, {fx('avg(x)')} AS mean FROM u GROUP BY 1, 2""")
 def kmeans_step(spark, sf_dir):
     rows = _vectors(spark, sf_dir)
-    labelled = codebooks.nearest_codes(rows, codebooks.seeds(rows, 16))
+    labelled = codebooks.nearest_codes(rows, codebooks.seeds(rows, codebooks.codebook_size(rows.count())))
     out = codebooks.means(labelled, lit(1)).select("label", "n", F.posexplode("mean").alias("k", "m"))
     return out.select("label", (F.col("k") + 1).cast("long").alias("i"), "n", fixed(F.col("m")).alias("mean"))
 
@@ -50,7 +50,7 @@ def kmeans_step(spark, sf_dir):
 @query()
 def kmeans(spark, sf_dir):
     rows = _vectors(spark, sf_dir)
-    _, labelled = codebooks.k_means(rows, codebooks.seeds(rows, codebooks.codebook_size(rows.count(), 32)), 10)
+    _, labelled = codebooks.k_means(rows, codebooks.seeds(rows, codebooks.codebook_size(rows.count())), 10)
     return labelled.select("id", "label", fixed(F.col("distance")).alias("distance"))
 
 
@@ -128,14 +128,15 @@ def merge_round(spark, sf_dir):
     return lod.merge_round(splats(spark, sf_dir)).select("id", *(fixed(F.col(c), 3).alias(c) for c in ("x", "y", "z", "opacity")))
 
 
-REPS = "r AS (SELECT id AS rep, x AS rx, y AS ry, z AS rz FROM s WHERE id % 50 = 0)"
+REPS = "r AS (SELECT s.id AS rep, x AS rx, y AS ry, z AS rz FROM s JOIN (SELECT min(id) AS id FROM s GROUP BY floor(x/20), floor(y/20), floor(z/20)) USING (id))"
 
 
-@query(S + f""", {REPS}, d AS (SELECT id, rep, sqrt((x-rx)*(x-rx)+(y-ry)*(y-ry)+(z-rz)*(z-rz)) AS d FROM s, r), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, rep) AS k FROM d WHERE d <= 20)
-SELECT s.id, k.rep, {fx('k.d')} AS distance FROM s LEFT JOIN k ON s.id = k.id AND k.k = 1""")
+@query(S + f""", {REPS}, d AS (SELECT id, rep, sqrt((x-rx)*(x-rx)+(y-ry)*(y-ry)+(z-rz)*(z-rz)) AS d FROM s, r), k AS (SELECT id, min(struct_pack(d := d, rep := rep)) AS k FROM d GROUP BY id)
+SELECT id, k.rep AS rep, {fx('k.d')} AS distance FROM k""")
 def nn_assign(spark, sf_dir):
     rows = splats(spark, sf_dir)
-    return lod.assigned(rows, rows.where("id % 50 = 0"), 20.0).select("id", "rep", fixed(F.col("distance")).alias("distance"))
+    found = lod.assigned_in_tiers(rows, lod.first_of_cells(rows, 20.0), [10.0, 20.0, 40.0])
+    return found.select("id", "rep", fixed(F.col("distance")).alias("distance"))
 
 
 def _det(p):
@@ -256,8 +257,8 @@ def view_changes(spark, sf_dir):
     return schedule.view_changes(rows, ["event_type"], "user_id", "event_id")
 
 
-@query("""WITH e AS (SELECT event_id % 50 AS page, event_id * 37 AS a FROM events WHERE event_id % 11 < 4), g AS (SELECT *, CASE WHEN a - lag(a) OVER (PARTITION BY page ORDER BY a) <= 2000 THEN 0 ELSE 1 END AS new FROM e),
+@query("""WITH e AS (SELECT event_id % 50 AS page, event_id * 37 + (event_id % 7) * 200 AS a FROM events), g AS (SELECT *, CASE WHEN a - lag(a) OVER (PARTITION BY page ORDER BY a) <= 2000 THEN 0 ELSE 1 END AS new FROM e),
 s AS (SELECT *, sum(new) OVER (PARTITION BY page ORDER BY a ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT page, min(a) AS since, max(a) + 2000 AS released FROM s GROUP BY page, k""")
 def cooldown(spark, sf_dir):
     i = F.col("event_id")
-    return schedule.releases(table(spark, sf_dir, "events").where(i % 11 < 4).select((i % 50).alias("page"), (i * 37).alias("at")))
+    return schedule.releases(table(spark, sf_dir, "events").select((i % 50).alias("page"), (i * 37 + (i % 7) * 200).alias("at")))
