@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LONG, STRING, as_bytes, fresh, small_batches, struct
+from .common import LONG, STRING, as_bytes, fresh, small_batches
 from .files import new_folder
 
 LENGTH = 200
@@ -282,7 +282,6 @@ def _runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.append(0, gap + 1)].tolist(), (starts[np.append(gap, len(starts) - 1)] + length).tolist()))
 
 
-_SPAN_TYPE = T.ArrayType(struct(start=LONG, end=LONG))
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -451,31 +450,21 @@ def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return found.groupBy("id", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-@F.arrow_udf(struct(n_bytes=LONG, n_removed=LONG, n_spans=LONG, kept_sha256=STRING))
-def _measured(packed: pa.Array, spans: pa.Array) -> pa.Array:
-    rows = []
+def _cut_texts(packed: pa.Array, spans: pa.Array) -> Iterator[tuple[bytes, list[tuple[int, int]]]]:
+    """Every text and its merged spans."""
     for data, found in zip(_unpacked(packed), spans.to_pylist()):
-        gone = merged(found, len(data))
-        rows.append((len(data), sum(e - s for s, e in gone), len(gone), hashlib.sha256(without(data, gone)).hexdigest()))
-    cols = list(zip(*rows)) or [[], [], [], []]
-    return pa.StructArray.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield data, merged(found, len(data))
 
 
-@F.arrow_udf(STRING)
-def _kept_text(packed: pa.Array, spans: pa.Array) -> pa.Array:
-    kept = (without(data, merged(found, len(data))) for data, found in zip(_unpacked(packed), spans.to_pylist()))
-    return pa.array([b.decode("utf-8", "ignore") for b in kept], pa.string())
+def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """(rows, packed): ``docs`` with the text compressed in the column ``packed``, and the byte spans that repeat in
+    ``__value`` (null: none).
 
-
-def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str, str]:
-    """(rows, packed, spans): ``docs`` with the text compressed and the byte spans that repeat (null: none), and the names
-    of these two columns."""
+    What reads all columns of ``rows`` shares the shuffle that the spans were found with.
+    """
     packed = packed_rows(docs, id_col, text_col)
     rows, names = packed
-    out = _left(rows, names, repeat_spans(docs, id_col, text_col, packed=packed), "spans").mapInArrow(
-        _same, T.StructType([*rows.schema.fields, T.StructField("__value", _SPAN_TYPE)])
-    )
-    return out, names[2], "__value"
+    return _left(rows, names, repeat_spans(docs, id_col, text_col, packed=packed), "spans"), names[2]
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -485,8 +474,19 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     occurrences and are cut alike; null ids are an id. Texts of any length are read whole. Other columns are not read, and
     an empty table gives an empty result.
     """
-    rows, packed, spans = with_spans(docs.select(id_col, text_col), id_col, text_col)
-    return rows.select(id_col, _measured(packed, spans).alias("m")).select(id_col, "m.*")
+    rows, packed = with_spans(docs.select(id_col, text_col), id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for data, gone in _cut_texts(batch.column(packed), batch.column("__value")):
+                found.append((len(data), sum(e - s for s, e in gone), len(gone), hashlib.sha256(without(data, gone)).hexdigest()))
+            cols = list(zip(*found)) or [[], [], [], []]
+            arrays = [batch.column(id_col), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    counts = [T.StructField(c, LONG) for c in ("n_bytes", "n_removed", "n_spans")]
+    return rows.mapInArrow(run, T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *counts, T.StructField("kept_sha256", STRING)]))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
@@ -495,8 +495,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Matches are of bytes, so a cut may fall inside a character: what is left of such a character is removed as well. A
     null text becomes empty. ``n_chars``, if ``docs`` has that column, is counted anew.
     """
-    rows, packed, spans = with_spans(docs, id_col, text_col)
-    out = rows.withColumn(text_col, _kept_text(F.col(packed), F.col(spans)))
-    if n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.length(text_col).cast(docs.schema[n_chars].dataType))
-    return out.select(*docs.columns)
+    rows, packed = with_spans(docs, id_col, text_col)
+    columns = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [without(data, gone).decode("utf-8", "ignore") for data, gone in _cut_texts(batch.column(packed), batch.column("__value"))]
+            new = {text_col: pa.array(texts, pa.string())}
+            if n_chars in columns:
+                new[n_chars] = pa.array([len(t) for t in texts], pa.int64()).cast(batch.column(n_chars).type)
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c) for c in columns], names=columns)
+
+    return rows.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
