@@ -58,7 +58,7 @@ def as_bytes(texts: pa.Array) -> list[bytes]:
 
 
 #: Rows and bytes of an Arrow batch; whole texts are long, and a task holds a batch on either side at once.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 400, 4 << 20
 #: Bits of the sets that go to all tasks, at most: 16 MB as words of 64.
 SET_BITS = 1 << 27
 

@@ -41,7 +41,7 @@ LENGTH = 200
 TRIGGER = 64
 #: Kinds of phrases of one trigger that a task orders at most, and bytes of a batch.
 KINDS = 8192
-BATCH = 1 << 20
+BATCH = 1 << 19
 _PIECE = 1 << 17
 _ODD = np.uint64(0x9E3779B97F4A7C15)  # any odd number serves as the base of the rolling hash
 
