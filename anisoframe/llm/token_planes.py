@@ -36,8 +36,8 @@ END_ID = 1
 _MAGIC = b"TOKPLAN1"
 _FOOTER = binary.Struct("<QQQQQ8s")
 _SPACE = r" \t\n\r\f\v"
-#: What only the library splits: special tokens, characters beyond ASCII and the Latin-1 letters, and four separators.
-_ODD = re.compile(r"<\||[^\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ÿ]")
+#: What only the library splits: special tokens, and characters beyond ASCII and the Latin-1 letters.
+_ODD = re.compile(r"<\||[^\x00-\x7fÀ-ÖØ-öø-ÿ]")
 # Fixed value: the pattern that the word tokenizer splits lower-case text with, for ASCII and Latin-1 letters.
 _WORDS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^{_SPACE}a-zß-öø-ÿ0-9]+")
 #: The same in any case; what stands between white space and has an odd character is one part.
@@ -181,13 +181,6 @@ class WordEncoder:
         for w, e in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False)):
             self.known[w] = np.array(e.ids, "<u4").tobytes()
 
-    def _learn_chunks(self, chunks: list[str]) -> None:
-        """What stands between white space: its words and marks are learned, and their ids put together."""
-        parts = [[c] if _ODD.search(c) else _WORDS.findall(c.lower()) for c in chunks]
-        self._learn([p for p in {p for ps in parts for p in ps} if p not in self.known])
-        get = self.known.__getitem__
-        self.known.update((c, b"".join(map(get, ps))) for c, ps in zip(chunks, parts))
-
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
         at = 0
@@ -199,13 +192,13 @@ class WordEncoder:
                 text = texts[at]
                 at += 1
                 size += len(text) + 1
-                chunks = _PARTS.findall(text) if _ODD.search(text) else text.lower().split()
-                new.update(chunks)
-                split.append(chunks)
-            self._learn_chunks([c for c in new if c not in self.known])
+                parts = _PARTS.findall(text) if _ODD.search(text) else _WORDS.findall(text.lower())
+                new.update(parts)
+                split.append(parts)
+            self._learn([w for w in new if w not in self.known])
             get = self.known.__getitem__
-            for chunks in split:
-                yield b"".join(map(get, chunks))
+            for parts in split:
+                yield b"".join(map(get, parts))
 
 
 _LOADED: dict[str, WordEncoder] = {}
@@ -247,7 +240,7 @@ def write_planes(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id"
     first; rows of equal id stand together, in order of their text's hash. start: the ids in all files before.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 1000)
     width = shuffle_width(docs.sparkSession)
     order = ("id", F.xxhash64("text"))  # so that rows of one id, or without one, may lie in many files
     rows = rows.repartitionByRange(width, *order).sortWithinPartitions(*order)
