@@ -196,25 +196,56 @@ def neighbour_pairs(rows: DataFrame, reach: int = 8, key: str = "id") -> DataFra
 
 
 def mutual_best(pairs: DataFrame) -> DataFrame:
-    """(a, b, score) with a < b where each is the other's best; ties go to the smaller id."""
+    """(a, b, score) with a < b where each is the other's best.
+
+    Ties go by a hash of the pair, the same from either side: of many equal rows a good share then pairs up at once, which
+    they would not if all chose the smallest id.
+    """
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
-    best = both.groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("cost"), "b")).alias("m")).select("a", "m.b", "m.cost")
+    lot = F.xxhash64(F.least("a", "b"), F.greatest("a", "b"))
+    best = both.groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("cost"), lot.alias("lot"), "b")).alias("m")).select("a", "m.b", "m.cost")
     back = best.select(F.col("a").alias("b"), F.col("b").alias("a"))
     return best.join(back, ["a", "b"]).where("a < b").select("a", "b", (-F.col("cost")).alias("score"))
 
 
-def merge_round(rows: DataFrame, reach: int = 8, key: str = "id") -> DataFrame:
-    """One level up: mutual best pairs become one row under the smaller id, the others stay.
+def mean_harmonics(rows: DataFrame, *keys: str, weight: Column | None = None, column: str = "sh") -> DataFrame:
+    """(keys, column): each coefficient's weighted mean over a group; what a row lacks counts as zero.
 
-    Rounds of pairs stand in for one long sequence of merges, so trees differ from a sequential builder's; each merge is
-    of two, and n rows become one after n - 1 of them.
+    ``column`` holds arrays, of any lengths or null; the mean is as long as the longest. Groups without weight count rows.
+    """
+    w = mass() if weight is None else weight
+    rows = rows.select(*keys, w.alias("__w"), column)
+    whole = rows.groupBy(*keys).agg(F.sum("__w").alias("__all"), F.count("*").alias("__n"))
+    each = rows.select(*keys, "__w", F.posexplode(column).alias("__k", "__v"))
+    sums = each.groupBy(*keys, "__k").agg(F.sum(F.col("__w") * F.col("__v")).alias("__s"), F.sum("__v").alias("__p"))
+    arrays = sums.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__k", "__s", "__p"))).alias("__c"))
+    mean = F.transform("__c", lambda c: F.when(F.col("__all") > 0, c["__s"] / F.col("__all")).otherwise(c["__p"] / F.col("__n")))
+    return whole.join(arrays, list(keys), "left").select(*keys, mean.alias(column))
+
+
+def merge_step(rows: DataFrame, reach: int = 8, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(links, merged): mutual best pairs become one row under the smaller id, the others stay.
+
+    links: (key, parent) of every row. Harmonics (a column ``sh``) are merged if there are any. Rounds of pairs stand in
+    for one long sequence of merges, so trees differ from a sequential builder's; each merge is of two, and n rows become
+    one after n - 1 of them.
     """
     pairs = checkpointed(mutual_best(neighbour_pairs(rows, reach, key)))
     to = pairs.select(F.col("a").alias(key), F.col("a").alias("__to")).unionByName(pairs.select(F.col("b").alias(key), F.col("a").alias("__to")))
-    fields = [*AXES, "r", "g", "b", "sx", "sy", "sz", "qx", "qy", "qz", "qw", "opacity"]
+    fields = [*AXES, "r", "g", "b", "sx", "sy", "sz", "qx", "qy", "qz", "qw", "opacity", *(["sh"] if "sh" in rows.columns else [])]
     joined = rows.select(key, *fields).join(to, key, "left")
-    merged = merge_groups(joined.where("__to IS NOT NULL"), "__to").withColumnRenamed("__to", key)
-    return joined.where("__to IS NULL").select(key, *fields).unionByName(merged.select(key, *fields))
+    both = joined.where("__to IS NOT NULL")
+    merged = merge_groups(both, "__to")
+    if "sh" in fields:
+        merged = merged.join(mean_harmonics(both, "__to"), "__to")
+    merged = merged.withColumnRenamed("__to", key)
+    links = joined.select(key, F.coalesce("__to", key).alias("parent"))
+    return links, joined.where("__to IS NULL").select(key, *fields).unionByName(merged.select(key, *fields))
+
+
+def merge_round(rows: DataFrame, reach: int = 8, key: str = "id") -> DataFrame:
+    """One round up: ``merge_step`` without its links."""
+    return merge_step(rows, reach, key)[1]
 
 
 def assigned(rows: DataFrame, representatives: DataFrame, radius: float, key: str = "id", cell: float | None = None) -> DataFrame:
