@@ -1,24 +1,9 @@
-"""Levels built over rows, and cases of single operators."""
+"""Cases of the operators on scenes of several levels."""
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from anisoframe.operators import lod, scenes
-from anisoframe.plans.adapter import splats
-
-SF = "/root/testdata/sf0.001"
-
-
-def test_built_levels(spark):
-    rows = splats(spark, SF).withColumn("sh", F.array("r", "g")).where("id <= 480")
-    levels = {}
-    for r in scenes.built_levels(rows, root=100, factor=1.2).select("level", "id", "parent", "sh").collect():
-        levels.setdefault(r.level, {})[r.id] = r
-    assert len(levels) == 2 and len(levels[1]) <= 100
-    assert {r.parent for r in levels[0].values()} == set(levels[1]) and all(r.parent is None for r in levels[1].values())
-    for p, row in levels[1].items():  # a mean lies between the least and the greatest of what it is made of
-        own = [r.sh for r in levels[0].values() if r.parent == p]
-        assert 1 <= len(own) <= 2 and all(min(v) - 1e-9 <= m <= max(v) + 1e-9 for v, m in zip(zip(*own), row.sh))
 
 
 def test_mean_harmonics(spark):
