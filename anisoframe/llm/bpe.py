@@ -40,7 +40,7 @@ LONG_WORD = 512
 PLACE_BITS = 40
 
 
-def _byte_symbols() -> dict[int, str]:
+def byte_symbols() -> dict[int, str]:
     """The character that stands for each byte in the vocabulary: printable ones themselves, others from 256 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     out = {b: chr(b) for b in printable}
@@ -180,7 +180,7 @@ class ByteBPE:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab: dict[str, int] = spec["model"]["vocab"]
-        symbols = _byte_symbols()
+        symbols = byte_symbols()
         back = {c: b for b, c in symbols.items()}
         self.bytes_of = {i: bytes(back[c] for c in token) for token, i in vocab.items()}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}

@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .bpe import byte_symbols
 from .common import checkpointed, shuffle_width, small_batches
 from .files import new_folder, opened
 
 BLOCK = 1 << 16
-#: Distinct words that a task remembers before it starts anew, and words that the library gets as one text.
-REMEMBERED = 250_000
-TOGETHER = 1000
+#: Distinct words that a task remembers before it starts anew.
+REMEMBERED = 400_000
 END_ID = 1
 _MAGIC = b"TOKPLAN1"
 _FOOTER = binary.Struct("<QQQQQ8s")
@@ -148,12 +148,34 @@ class Reader:
             yield None if self.none[d] else int(self.ids[d]), have[: end - start]
 
 
+class Words(dict):
+    """Little-endian 32-bit ids of words by a tokenizers library object; a word is encoded when it is first asked for.
+
+    Words of ASCII and Latin-1 letters go to the library's merges at once, in lower case and written in the letters that
+    stand for bytes; what else there is goes through the whole library.
+    """
+
+    def __init__(self, library):
+        self.library, self.merge = library, library.model.tokenize
+        self.letters = byte_symbols()
+
+    def __missing__(self, word: str) -> bytes:
+        if _ODD.search(word):
+            ids = self.library.encode(word, add_special_tokens=False).ids
+        else:
+            low = word.lower()
+            if not (low.isascii() and low.isalnum()):
+                low = low.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.merge(low)]
+        self[word] = raw = binary.pack(f"<{len(ids)}I", *ids)
+        return raw
+
+
 class WordEncoder:
     """The ids of a tokenizer file by the tokenizers library, with words that were seen before looked up.
 
     The tokenizer drops white space and lower-cases, so a text's ids are those of its parts between white space. Parts
-    of ASCII and Latin-1 letters are split at words and marks as the tokenizer's own pattern does. The library gets many
-    new words as one text; the tokens that end a word tell them apart again.
+    of ASCII and Latin-1 letters are split at words and marks as the tokenizer's own pattern does.
     """
 
     def __init__(self, path: str):
@@ -162,43 +184,15 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.ends = np.zeros(self.library.get_vocab_size(), bool)
-        self.ends[[i for w, i in self.library.get_vocab(with_added_tokens=False).items() if w.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if not _ODD.search(w)]
-        odd = [w for w in words if _ODD.search(w)]
-        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
-        for group, e in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
-            if len(cuts) - 1 != len(group) or cuts[-1] != 4 * len(ids):
-                odd += group
-                continue
-            raw = ids.tobytes()
-            self.known.update(zip(group, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
-        for w, e in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        self.known = Words(self.library)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
-        at = 0
-        while at < len(texts):
+        for text in texts:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            split, size, new = [], 0, set()
-            while at < len(texts) and size < 1 << 20:
-                text = texts[at]
-                at += 1
-                size += len(text) + 1
-                parts = _PARTS.findall(text) if _ODD.search(text) else _WORDS.findall(text.lower())
-                new.update(parts)
-                split.append(parts)
-            self._learn([w for w in new if w not in self.known])
-            get = self.known.__getitem__
-            for parts in split:
-                yield b"".join(map(get, parts))
+            parts = _PARTS.findall(text) if _ODD.search(text) else _WORDS.findall(text.lower())
+            yield b"".join(map(self.known.__getitem__, parts))
 
 
 _LOADED: dict[str, WordEncoder] = {}
