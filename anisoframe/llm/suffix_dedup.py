@@ -160,21 +160,36 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _dense(values: np.ndarray) -> np.ndarray:
-    return np.unique(values, return_inverse=True)[1].astype(np.int64)
+def _ranks(keys: np.ndarray, left: np.ndarray, h: int) -> np.ndarray:
+    """How many of the sequences that start at each place are smaller than it, by prefix doubling; equal ones are alike.
 
-
-def suffix_ranks(symbols: np.ndarray) -> np.ndarray:
-    """Rank of every suffix of a sequence, by prefix doubling; a suffix that ends first is the smaller."""
-    rank, h = _dense(symbols) + 1, 1
-    while len(rank) and rank.max() < len(rank):
-        behind = np.zeros(len(rank), np.int64)
-        behind[:-h] = rank[h:]
-        rank = _dense(rank * (len(rank) + 1) + behind) + 1
+    keys: in the order of the first ``h`` symbols, or of all if fewer are left; what ends first is the smaller. left: the
+    symbols of each. Only what a round has not told apart is looked at in the next.
+    """
+    rank = np.zeros(len(keys), np.int64)
+    live = np.argsort(keys)
+    key, old = keys[live], rank
+    while len(live):
+        at, new, whole = np.arange(len(live)), np.ones(len(live), bool), np.ones(len(live), bool)
+        new[1:], whole[1:] = key[1:] != key[:-1], old[1:] != old[:-1]
+        old = old + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(whole, at, 0))
+        rank[live] = old
+        again = ~(new & np.append(new[1:], True)) & (left[live] >= h)
+        live, old = live[again], old[again]
+        behind, more = np.zeros(len(live), np.int64), left[live] > h
+        behind[more] = rank[live[more] + h] + 1
+        key = old * (len(rank) + 2) + behind
+        order = np.argsort(key)
+        live, key, old = live[order], key[order], old[order]
         h *= 2
     return rank
 
 
+def suffix_ranks(symbols: np.ndarray) -> np.ndarray:
+    """Rank of every suffix of a sequence, from 1; a suffix that ends first is the smaller."""
+    return _ranks(symbols, np.arange(len(symbols), 0, -1), 1) + 1
+
+
 def corpus_order(texts: list[bytes], window: int = 8, modulus: int = 16, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(data, order): the texts put together, and its places in the order of the suffixes, each up to its text's end.
 
@@ -214,7 +229,7 @@ def corpus_order(texts: list[bytes], window: int = 8, modulus: int = 16, places:
     here = np.arange(len(data)) if places is None else places
     piece = np.minimum(np.searchsorted(cuts, here + window), np.flatnonzero(last)[np.searchsorted(ends, here, side="right")])
     start = rank[first[parse[piece]] + here - begins[piece]]
-    return data, here[np.argsort(start * (len(follow) + len(symbols) + 1) + follow[piece], kind="stable")]
+    return data, here[np.argsort(start * (len(follow) + len(symbols) + 1) + follow[piece])]
 
 
 def _words(data: np.ndarray) -> np.ndarray:
@@ -226,20 +241,11 @@ def _piece_ranks(data: bytes, ends: np.ndarray, begins: np.ndarray) -> np.ndarra
     """Ranks of the suffixes of pieces put together, each up to its piece's end; equal strings have equal ranks."""
     left = np.repeat(ends, ends - begins) - np.arange(len(data))
     words = _words(np.frombuffer(data, np.uint8))
-    short = left < 8
+    # Seven bytes, zeros behind the end, and how many they are, as zero bytes in a text look like the end.
+    short = left < 7
     words[short] &= ~np.uint64(0) << (np.uint64(64) - np.uint64(8) * left[short].astype(np.uint64))
-    rank = _dense(words)
-    # Zero bytes in a text look like the end: of equal words the one with fewer bytes left comes first.
-    rank = _dense(rank * 9 + np.minimum(left, 8))
-    h, classes = 8, 0
-    while rank.max() + 1 != classes and h < left.max():
-        classes = rank.max() + 1
-        behind = np.zeros(len(rank), np.int64)
-        behind[:-h] = rank[h:] + 1
-        behind[left <= h] = 0
-        rank = _dense(rank * (len(rank) + 2) + behind)
-        h *= 2
-    return rank
+    words = words & ~np.uint64(255) | np.minimum(left, 7).astype(np.uint64)
+    return _ranks(words, left, 7)
 
 
 def _repeats(texts: list[bytes], at: np.ndarray, counts: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
