@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, line_dedup, quality, simhash, suffix_dedup, token_planes, url_filter, warc
+from . import bpe, decontaminate, html_extract, line_dedup, quality, simhash, suffix_dedup, token_planes, url_filter, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,8 +70,12 @@ def op10_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_line_dedup, op2_simhash, op3_html_extract, op4_decontaminate, op5_quality, op6_suffix_dedup, op7_url_filter, op8_warc, op9_bpe, op10_token_planes)
+    own = (op1_line_dedup, op2_simhash, op3_html_extract, op4_decontaminate, op5_quality, op6_suffix_dedup, op7_url_filter, op8_warc, op9_bpe, op10_token_planes, op13_whitening)
     return {f.__name__: f for f in own}
 
 
