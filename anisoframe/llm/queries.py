@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, decontaminate, html_extract, line_dedup, quality, simhash, suffix_dedup, token_planes, url_filter, warc, whitening
+from . import bpe, collocations, decontaminate, html_extract, line_dedup, quality, quality_gam, simhash, suffix_dedup, token_planes, url_filter, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,12 +74,16 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_line_dedup, op2_simhash, op3_html_extract, op4_decontaminate, op5_quality, op6_suffix_dedup, op7_url_filter, op8_warc, op9_bpe, op10_token_planes, op11_collocations, op13_whitening)
+    own = (op1_line_dedup, op2_simhash, op3_html_extract, op4_decontaminate, op5_quality, op6_suffix_dedup, op7_url_filter, op8_warc, op9_bpe, op10_token_planes, op11_collocations, op12_quality_gam, op13_whitening)
     return {f.__name__: f for f in own}
 
 
