@@ -27,7 +27,7 @@ from .common import LONG, STRING, Members, as_bytes, join_hot, shuffle_width, sm
 from .files import new_folder
 
 #: Bytes of texts in a block, unless a single text has more.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
 #: The language of texts without one.
 UNKNOWN = "und"
 #: What a cut's score is multiplied with before it is rounded down.
