@@ -1,14 +1,16 @@
 """Phrase collocation mining by hierarchical pair naming.
 
-Texts are cut into words once, in blocks of whole texts, which are kept as lists of codes into the block's own words. Words
-that are frequent by the count over all blocks get a global name. A level up, two neighbouring names make a pair; pairs are
-counted over all blocks, the frequent ones get a global name by a join, and every place of a block takes the name of the
-pair that starts there. Since a phrase of k words is the pair of its first and its last k - 1 words, a name is a row with
-two parents, from which the counts of all cuts and the phrases that hold it are looked up. Only what is frequent at one
-level is looked at in the next, which loses nothing: a phrase is never more frequent than its parts.
-
-What is shuffled are a block's distinct words or pairs with their counts, never single occurrences, and the blocks' codes
-once for each level. A word that all texts have is one row for each block.
+Texts are cut into words, in blocks of whole texts, as codes into the block's own words. Words that are frequent by the count
+over all blocks get a global name. A level up, two neighbouring names make a pair; pairs are counted over all blocks, the
+frequent ones get a global name, and every place of a block takes the name of the pair that starts there. Since a phrase of
+k words is the pair of its first and its last k - 1 words, a name is a row with two parents, from which the counts of all
+cuts and the phrases that hold it are looked up. Only what is frequent at one level is looked at in the next, which loses
+nothing: a phrase is never more frequent than its parts.
+
+Names come to the places in one of two ways, with the same result. As long as the names of a level are within ``SHARED``
+bytes, all tasks get them, and each level reads the texts again; nothing but counts is shuffled. Beyond that blocks are
+written, their distinct grams are joined with the names, and what a block's codes are called is put together by block: a
+word that all texts have is one row for each block.
 """
 
 from __future__ import annotations
@@ -17,17 +19,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import LONG, STRING, Members, as_bytes, join_hot, shuffle_width, small_batches, struct
+from .common import LONG, STRING, Members, as_bytes, shuffle_width, small_batches, struct
 from .files import new_folder
 
 #: Bytes of texts in a block, unless a single text has more.
 BLOCK_BYTES = 3 << 20
+#: Bytes of names that all tasks get, of one level, at most.
+SHARED = 64 << 20
+#: Different grams that a task counts before it hands them on.
+HELD = 1_000_000
 #: The language of texts without one.
 UNKNOWN = "und"
 #: What a cut's score is multiplied with before it is rounded down.
@@ -80,23 +87,95 @@ def _word_block(block: int, langs: list[str], texts: list[bytes]) -> pa.RecordBa
     return _listed(block, out, grams, WORDS)
 
 
-def word_blocks(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(block, codes, grams): blocks of whole texts as codes of their words by language, -1 at the end of a piece."""
+def _text_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of whole texts, from batches of (language, text)."""
+    block, langs, texts, size = (TaskContext.get().partitionId() + 1) << 32, [], [], 0
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
+            if size and size + len(text) > BLOCK_BYTES:
+                yield _word_block(block, langs, texts)
+                block, langs, texts, size = block + 1, [], [], 0
+            langs.append(lang)
+            texts.append(text)
+            size += len(text)
+    if texts:
+        yield _word_block(block, langs, texts)
+
+
+class Shared:
+    """Names of one level that all tasks hold: words by language, or pairs of names of the level before."""
+
+    def __init__(self, names: pa.Table, below: Shared | None):
+        names = names.combine_chunks()
+        self.ids = names["id"].to_numpy()
+        if below is None:
+            self.words = pc.binary_join_element_wise(*(names[c].combine_chunks() for c in ("lang", "word")), "\t")
+        else:
+            # Names of the level before by their place there, so that a pair is one number.
+            self.below = np.sort(below.ids)
+            keys = np.searchsorted(self.below, names["left"].to_numpy()) << 32 | np.searchsorted(self.below, names["right"].to_numpy())
+            order = np.argsort(keys)
+            self.keys, self.ids = keys[order], self.ids[order]
+
+    def named(self, grams: pa.StructArray) -> np.ndarray:
+        """The names of a block's grams, -1 for none."""
+        if not len(self.ids):
+            return np.full(len(grams), -1)
+        if grams.type.get_field_index("word") >= 0:
+            # Words hold no tab, so that the last one parts the two.
+            at = pc.index_in(pc.binary_join_element_wise(grams.field("lang"), grams.field("word"), "\t"), value_set=self.words)
+            return np.append(self.ids, -1)[pc.fill_null(at, len(self.ids)).to_numpy(zero_copy_only=False)]
+        left, right = (np.searchsorted(self.below, grams.field(c).to_numpy(zero_copy_only=False)) for c in ("left", "right"))
+        at = np.minimum(np.searchsorted(self.keys, left << 32 | right), len(self.keys) - 1)
+        return np.where(self.keys[at] == left << 32 | right, self.ids[at], -1)
+
+
+def _raised(block: pa.RecordBatch | None, levels: list[Shared]) -> pa.RecordBatch | None:
+    """A block of words, some levels up."""
+    for names in levels:
+        if block is not None:
+            block = pair_block(block.column(0)[0].as_py(), block.column(1)[0].values.to_numpy(zero_copy_only=False), names.named(block.column(2)[0].values))
+    return block
+
+
+def text_blocks(docs: DataFrame, levels: list[Shared]) -> DataFrame:
+    """(block, codes, grams) of (language, text): blocks of whole texts as codes of their words by language (-1 ends a
+    piece), or of what neighbouring names make at the level after ``levels``."""
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, langs, texts, size = (TaskContext.get().partitionId() + 1) << 32, [], [], 0
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
-                if size and size + len(text) > BLOCK_BYTES:
-                    yield _word_block(block, langs, texts)
-                    block, langs, texts, size = block + 1, [], [], 0
-                langs.append(lang)
-                texts.append(text)
-                size += len(text)
-        if texts:
-            yield _word_block(block, langs, texts)
+        for block in _text_blocks(batches):
+            block = _raised(block, shared.value)
+            if block is not None:
+                yield block
+
+    return docs.mapInArrow(run, PAIRS if levels else WORDS)
+
 
-    return docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)), F.col(text_col).cast("string")).mapInArrow(run, WORDS)
+def text_counts(docs: DataFrame, levels: list[Shared]) -> DataFrame:
+    """(keys, n) of the grams of ``text_blocks``, added up in each task as far as ``HELD`` allows."""
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
+    schema = (PAIRS if levels else WORDS)["grams"].dataType.elementType
+    keys = schema.names[:-1]
+
+    def added(parts: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(parts).group_by(keys).aggregate([("n", "sum")]).rename_columns([*keys, "n"]).select([*keys, "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for block in _text_blocks(batches):
+            block = _raised(block, shared.value)
+            if block is None:
+                continue
+            held.append(pa.Table.from_batches([pa.RecordBatch.from_struct_array(block.column(2)[0].values)]))
+            if sum(len(t) for t in held) > HELD:
+                held = [added(held)]
+                if len(held[0]) > HELD // 2:
+                    yield from held.pop().to_batches(50_000)
+        if held:
+            yield from added(held).to_batches(50_000)
+
+    return docs.mapInArrow(run, schema)
 
 
 def pair_block(block: int, codes: np.ndarray, names: np.ndarray) -> pa.RecordBatch | None:
@@ -182,21 +261,29 @@ def collocations(docs: DataFrame, max_words: int = 3, min_count: int = 10, limit
         rows.write.parquet(f"{folder}/{name}")
         return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
 
-    blocks = written(word_blocks(docs, text_col, lang_col), "words")
-    words = blocks.select(F.explode("grams").alias("g")).select("g.*")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    own = F.monotonically_increasing_id()
-    counts = words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
-    names = written(counts.select(own.alias("id"), "lang", "word", "f"), "names-1")
-    grams = names.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"))
-    keys, levels = ["lang", "word"], []
-    for k in range(2, max_words + 1):
-        blocks = written(pair_blocks(blocks, _named(blocks, names, keys)), f"pairs-{k}")
+    docs = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    keys, levels, shared, blocks, grams = ["lang", "word"], [], [], None, None
+    for k in range(1, max_words + 1):
+        found = text_counts(docs, shared) if blocks is None else blocks.select(F.explode("grams").alias("g")).select("g.*")
+        counts = found.groupBy(*keys).agg(F.sum("n").alias("f"))
+        if k == 1:
+            counts = written(counts, "words")
+            totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
+        names = written(counts.where(F.col("f") >= min_count).select(F.monotonically_increasing_id().alias("id"), *keys, "f"), f"names-{k}")
+        if k == 1:
+            grams = names.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"))
+        else:
+            grams = written(_with_parents(names, grams), f"grams-{k}")
+            levels.append(grams)
+        if k == max_words:
+            break
+        size = F.octet_length("lang") + F.octet_length("word") + 24 if k == 1 else F.lit(32)
+        if blocks is None and (names.agg(F.sum(size.cast("long"))).first()[0] or 0) <= SHARED:
+            shared.append(Shared(names.select("id", *keys).toArrow(), shared[-1] if shared else None))  # its size was looked at
+        else:
+            blocks = written(text_blocks(docs, shared), f"blocks-{k}") if blocks is None else blocks
+            blocks = written(pair_blocks(blocks, _named(blocks, names, keys)), f"blocks-{k + 1}")
         keys = ["left", "right"]
-        counts = blocks.select(F.explode("grams").alias("g")).select("g.*").groupBy(*keys).agg(F.sum("n").alias("f"))
-        names = written(counts.where(F.col("f") >= min_count).select(own.alias("id"), *keys, "f"), f"names-{k}")
-        grams = written(_with_parents(names, grams), f"grams-{k}")
-        levels.append(grams)
     kept = [_kept(rows, levels[i + 1] if i + 1 < len(levels) else None, subsumed).select("lang", "id", F.lit(i).alias("k"), *_CUT) for i, rows in enumerate(levels)]
     every = kept[0]
     for rows in kept[1:]:
@@ -207,11 +294,8 @@ def collocations(docs: DataFrame, max_words: int = 3, min_count: int = 10, limit
 
 def _with_parents(names: DataFrame, grams: DataFrame) -> DataFrame:
     """Named pairs with their phrase, and with the counts of their first and their last 1, 2, ... words."""
-    total = names.count()
     for side, columns in (("left", ("lang", "phrase", "heads")), ("right", ("last", "tails"))):
-        uses = names.groupBy(side).agg(F.count("*").alias("__uses"))
-        parents = grams.select(F.col("id").alias(side), *(F.col(c).alias(f"__{c}") for c in columns)).join(uses, side)
-        names = join_hot(names, parents, [side], total, "__uses").drop("__uses")
+        names = names.join(grams.select(F.col("id").alias(side), *(F.col(c).alias(f"__{c}") for c in columns)), side)
     phrase = F.concat_ws(" ", "__phrase", "__last")
     sums = [F.concat(f"__{c}", F.array("f")).alias(c) for c in ("heads", "tails")]
     return names.select("id", "left", "right", F.col("__lang").alias("lang"), phrase.alias("phrase"), F.col("__last").alias("last"), "f", *sums)

@@ -55,9 +55,12 @@ def test_query(spark):
     assert sorted(answer.fetchall()) == want and [c[0] for c in answer.description] == got.columns
 
 
-@pytest.mark.parametrize("max_words, limit, subsumed", [(2, 5, 50), (4, 30, 50), (5, 1000, 100)])
-def test_brute_force(spark, max_words, limit, subsumed, monkeypatch):
+@pytest.mark.parametrize("max_words, limit, subsumed, shared", [(2, 5, 50, 0), (4, 30, 50, 1 << 20), (4, 30, 50, 0), (5, 1000, 100, 1600)])
+def test_brute_force(spark, max_words, limit, subsumed, shared, monkeypatch):
+    """Names that all tasks get, names that are joined, and one after the other."""
     monkeypatch.setattr(C, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(C, "HELD", 40)
+    monkeypatch.setattr(C, "SHARED", shared)
     rng = random.Random(max_words)
     words = ["Aa", "aa", "b", "ß", "漢字", "é", "c'est", "É", " x", "-", "100"]
     rows = []
