@@ -85,18 +85,20 @@ class Members:
         n = values.count()
         self.bits = min(SET_BITS, 1 << max(12, (16 * n).bit_length()))
         at = F.pmod(F.col(column), F.lit(self.bits))
-        words = values.groupBy(F.shiftright(at, 6).alias("__word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({column}, {self.bits}) & 63 AS int))")).alias("__set"))
-        self.words = F.broadcast(checkpointed(words))
+        words = values.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({column}, {self.bits}) & 63 AS int))")).alias("bits"))
+        self.words = checkpointed(words)
 
-    def _on(self, column: str) -> Column:
+    def _joined(self, rows: DataFrame, column: str, how: str) -> DataFrame:
+        word, held = (fresh(c, rows.columns) for c in ("set_word", "set_bits"))
         at = F.pmod(F.col(column), F.lit(self.bits))
-        return (F.shiftright(at, 6) == F.col("__word")) & (F.getbit("__set", at.bitwiseAND(63).cast("int")) == 1)
+        member = (F.shiftright(at, 6) == F.col(word)) & (F.getbit(held, at.bitwiseAND(63).cast("int")) == 1)
+        return rows.join(F.broadcast(self.words.toDF(word, held)), member, how)  # of ``SET_BITS`` at most
 
     def those_in(self, rows: DataFrame, column: str) -> DataFrame:
-        return rows.join(self.words, self._on(column), "left_semi")
+        return self._joined(rows, column, "left_semi")
 
     def those_out(self, rows: DataFrame, column: str) -> DataFrame:
-        return rows.join(self.words, self._on(column), "left_anti")
+        return self._joined(rows, column, "left_anti")
 
 
 #: Rows of a table below which no key can be too much for one task.

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FEW, checkpointed, join_hot
+from .common import FEW, join_hot
+from .files import stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -23,20 +24,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     Self-loops, repeated and reversed edges change nothing; an empty table gives an empty result.
     """
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    edges = checkpointed(edges)
+    edges = stored(edges)
     before = _state(edges)
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         large = join_hot(both.where("v > u"), low, ["u"], 2 * before[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct() if before[0] <= FEW else checkpointed(large.distinct())
+        large = large.distinct() if before[0] <= FEW else stored(large.distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = (
             join_hot(large, low, ["u"], before[0])
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v").where("u <> v").distinct()
         )
-        edges = checkpointed(small)
+        edges = stored(small)
         after = _state(edges)
         if after == before:
             break

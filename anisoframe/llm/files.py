@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .common import checkpoint_dir
 
@@ -16,6 +16,17 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again.
+
+    For loops: what the optimizer believes of a checkpoint's size is that of the plan it cut, which every round multiplies
+    until planning takes longer than the work; of a table it sees the files.
+    """
+    folder = new_folder(df.sparkSession, "table")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a URI and the path in it; what has no scheme is a local path."""
     if uri.startswith("file:/"):

@@ -131,13 +131,14 @@ def remove_repeated_lines(
     one would; a text of any length is read whole. An empty table gives an empty result. The column of spans is named anew
     if ``docs`` has it, and is empty where nothing goes.
     """
-    spans, mark = (fresh(c, docs.columns) for c in (spans, "dedup_mark"))
-    found = checkpointed(repeated_units(docs, id_col, text_col, min_words, sentences).select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("spans").alias("__spans")))
+    spans = fresh(spans, docs.columns)
+    mark, of, own, cuts = (fresh(c, [*docs.columns, spans]) for c in ("dedup_mark", "dedup_id", "dedup_of", "dedup_cuts"))
+    found = checkpointed(repeated_units(docs, id_col, text_col, min_words, sentences).select(F.col("id").alias(of), F.col("mark").alias(own), F.col("spans").alias(cuts)))
     apply, kind = _applied(sentences, run_words, docs.schema[id_col].dataType)
     marked = docs.withColumn(mark, F.xxhash64(text_col))
-    among = Members(found.select("__mark").distinct(), "__mark")
+    among = Members(found.select(own).distinct(), own)
     plain = among.those_out(marked, mark).drop(mark).withColumn(spans, F.array().cast(kind))
-    on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col(mark) == F.col("__mark"))
-    held = among.those_in(marked, mark).join(found, on, "left").withColumn(mark, apply(F.col(text_col), F.col("__spans")))
+    on = F.col(id_col).eqNullSafe(F.col(of)) & (F.col(mark) == F.col(own))
+    held = among.those_in(marked, mark).join(found, on, "left").withColumn(mark, apply(F.col(text_col), F.col(cuts)))
     held = held.withColumns({text_col: F.col(mark)["text"], spans: F.col(mark)["spans"]}).select(*docs.columns, spans)
     return plain.unionByName(held)

@@ -411,10 +411,11 @@ def packed_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     return docs.select(*(c for c in docs.columns if c != text_col), *(e.alias(n) for n, e in new.items())), names
 
 
-def _left(rows: DataFrame, names: list[str], more: DataFrame, value: str) -> DataFrame:
-    """All rows of ``packed_rows`` with a value for their id and mark."""
-    more = more.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col(value).alias("__value"))
-    return rows.join(more, rows[names[0]].eqNullSafe(more["__id"]) & (rows[names[1]] == more["__mark"]), "left").drop("__id", "__mark")
+def _left(rows: DataFrame, names: list[str], more: DataFrame, value: str) -> tuple[DataFrame, str]:
+    """(all rows of ``packed_rows`` with a value for their id and mark, the value's column)."""
+    of, own, held = (fresh(c, rows.columns) for c in ("cut_id", "cut_mark", "cut_value"))
+    more = more.select(F.col("id").alias(of), F.col("mark").alias(own), F.col(value).alias(held))
+    return rows.join(more, F.col(names[0]).eqNullSafe(F.col(of)) & (F.col(names[1]) == F.col(own)), "left").drop(of, own), held
 
 
 def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: int = KINDS, packed: tuple[DataFrame, list[str]] | None = None) -> DataFrame:
@@ -446,7 +447,7 @@ def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     several = known.where("kinds > 1").select("one.id", "one.mark", F.struct("key", "kinds", "n", "one.first").alias("w"))
     wanted = several.groupBy("id", "mark").agg(F.collect_list("w").alias("wanted"))
     shape = f"id {kind}, mark long, key long, kinds long, n long, left long, at long, bytes binary"
-    cut = _left(held, names, wanted, "wanted").mapInArrow(_cut_out, shape)
+    cut = _left(held, names, wanted, "wanted")[0].mapInArrow(_cut_out, shape)
     ordered = cut.where(F.col("kinds") <= kinds).repartition("key").sortWithinPartitions("key")
     ordered = ordered.mapInArrow(_order, f"id {kind}, mark long, spans array<struct<start:long,end:long>>")
     strings = cut.where(F.col("kinds") > kinds).mapInArrow(_strings, f"id {kind}, mark long, start long, digest binary, n long")
@@ -462,15 +463,16 @@ def _cut_texts(packed: pa.Array, spans: pa.Array) -> Iterator[tuple[bytes, list[
         yield data, merged(found, len(data))
 
 
-def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
-    """(rows, packed): ``docs`` with the text compressed in the column ``packed``, and the byte spans that repeat in
-    ``__value`` (null: none).
+def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str, str]:
+    """(rows, packed, cuts): ``docs`` with the text compressed in the column ``packed``, and the byte spans that repeat in
+    the column ``cuts`` (null: none).
 
     What reads all columns of ``rows`` shares the shuffle that the spans were found with.
     """
     packed = packed_rows(docs, id_col, text_col)
     rows, names = packed
-    return _left(rows, names, repeat_spans(docs, id_col, text_col, packed=packed), "spans"), names[2]
+    found, cuts = _left(rows, names, repeat_spans(docs, id_col, text_col, packed=packed), "spans")
+    return found, names[2], cuts
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -480,12 +482,12 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     occurrences and are cut alike; null ids are an id. Texts of any length are read whole. Other columns are not read, and
     an empty table gives an empty result.
     """
-    rows, packed = with_spans(docs.select(id_col, text_col), id_col, text_col)
+    rows, packed, cuts = with_spans(docs.select(id_col, text_col), id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for data, gone in _cut_texts(batch.column(packed), batch.column("__value")):
+            for data, gone in _cut_texts(batch.column(packed), batch.column(cuts)):
                 found.append((len(data), sum(e - s for s, e in gone), len(gone), hashlib.sha256(without(data, gone)).hexdigest()))
             cols = list(zip(*found)) or [[], [], [], []]
             arrays = [batch.column(id_col), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())]
@@ -501,12 +503,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Matches are of bytes, so a cut may fall inside a character: what is left of such a character is removed as well. A
     null text becomes empty. ``n_chars``, if ``docs`` has that column, is counted anew.
     """
-    rows, packed = with_spans(docs, id_col, text_col)
+    rows, packed, cuts = with_spans(docs, id_col, text_col)
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [without(data, gone).decode("utf-8", "ignore") for data, gone in _cut_texts(batch.column(packed), batch.column("__value"))]
+            texts = [without(data, gone).decode("utf-8", "ignore") for data, gone in _cut_texts(batch.column(packed), batch.column(cuts))]
             new = {text_col: pa.array(texts, pa.string())}
             if n_chars in columns:
                 new[n_chars] = pa.array([len(t) for t in texts], pa.int64()).cast(batch.column(n_chars).type)
