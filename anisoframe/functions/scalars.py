@@ -101,6 +101,22 @@ def half_round(x: pa.Array) -> pa.Array:
     return pa.array(halves, mask=x.is_null().to_numpy(zero_copy_only=False))
 
 
+@F.arrow_udf(T.LongType())
+def half_code(x: pa.Array) -> pa.Array:
+    """Whole numbers from 0 to 65535 in the order of the half-precision numbers nearest to the single-precision ones."""
+    with np.errstate(over="ignore"):
+        bits = x.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float32).astype(np.float16).view(np.uint16).astype(np.int64)
+    return pa.array(np.where(bits & 0x8000, bits ^ 0xFFFF, bits | 0x8000), mask=x.is_null().to_numpy(zero_copy_only=False))
+
+
+@F.arrow_udf(T.DoubleType())
+def half_of_code(x: pa.Array) -> pa.Array:
+    """The half-precision number of a code of ``half_code``, as a double."""
+    code = x.fill_null(0).to_numpy(zero_copy_only=False)
+    bits = np.where(code & 0x8000, code & 0x7FFF, code ^ 0xFFFF).astype(np.uint16)
+    return pa.array(bits.view(np.float16).astype(np.float64), mask=x.is_null().to_numpy(zero_copy_only=False))
+
+
 @F.arrow_udf(T.LongType())
 def float_bits(x: pa.Array) -> pa.Array:
     """The bits of a single-precision number as an unsigned number."""

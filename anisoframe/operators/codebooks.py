@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.scalars import lit
+from ..functions.scalars import half_code, half_of_code, lit
 from .running import running_totals
 
 BINS = 65536
@@ -229,9 +229,50 @@ def delta_decoded(rows: DataFrame, chunk: str, order: str, modulus: int = 256) -
     return rows.withColumn("value", F.pmod(F.sum("delta").over(w), F.lit(modulus)))
 
 
+def half_percentiles(rows: DataFrame, values: list[Column], fractions: dict[str, float], nearest: bool = True) -> DataFrame:
+    """One row: for each fraction the value at that share of all values, which are rounded to half precision first.
+
+    Values are counted by their 65,536 codes at most, so that what is ranked in one place has a fixed size. nearest: the
+    rank is the fraction of the count in single precision, rounded; else the first rank whose share reaches the fraction.
+    Without values there are nulls.
+    """
+    codes = rows.select(F.explode(F.array(*values)).alias("v")).where("v IS NOT NULL").select(half_code("v").alias("code"))
+    order = Window.orderBy("code")
+    counts = codes.groupBy("code").agg(F.count("*").alias("n"))
+    counts = counts.withColumns({"upto": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("n").over(Window.partitionBy())})
+
+    def rank(p: float) -> Column:
+        if nearest:
+            share = (F.col("all").cast("float") * F.lit(p).cast("float")).cast("double")
+            return F.least(F.col("all") - 1, F.floor(share + lit(0.5)))
+        return F.greatest(F.ceil(F.col("all") * lit(p)), F.lit(1).cast("long")) - 1
+
+    found = counts.agg(*(F.min(F.when(F.col("upto") > rank(p), F.col("code"))).alias(n) for n, p in fractions.items()))
+    return found.select(*(half_of_code(n).alias(n) for n in fractions))
+
+
 def encoding_range(rows: DataFrame, value: Column, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """The percentiles that a chunk's encoding spans."""
-    at = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY v)")
-    return rows.select(value.alias("v")).agg(at(low).alias("low"), at(high).alias("high"))
+    """The percentiles that a chunk's encoding spans, of values in half precision."""
+    return half_percentiles(rows, [value], {"low": low, "high": high}, nearest=False)
 
 
+def rad_ranges(rows: DataFrame) -> dict:
+    """What the numbers of paged files are encoded in: the ranges of colours and of logarithmic scales that hold 98 in 100,
+    and which of opacity, colours and scales need half precision instead.
+
+    Of a row's scales the middle and the largest count. Two rows come to the driver.
+    """
+    logs = [F.when(F.col(c) > 0, F.ln(c)).otherwise(lit(-np.inf)) for c in ("sx", "sy", "sz")]
+    # The larger of the two smaller ones that are left when the largest is taken out.
+    middle = F.greatest(F.least(logs[0], logs[1]), F.least(F.greatest(logs[0], logs[1]), logs[2]))
+    ends = {"low": 0.01, "high": 0.99}
+    colour = half_percentiles(rows, [F.col(c) for c in "rgb"], ends).first()
+    scale = half_percentiles(rows, [middle, F.greatest(*logs)], ends).first()
+    opacity = rows.agg(F.max("opacity")).first()[0] or 0.0
+    rgb = min(0.0, colour["low"] or 0.0), max(1.0, colour["high"] if colour["high"] is not None else 1.0)
+    low = scale["low"] if scale["low"] is not None else 0.0
+    ln = min(-12.0, max(float(np.log(1e-30)), low)), max(9.0, scale["high"] if scale["high"] is not None else 9.0)
+    # Beyond one an opacity is kept as a shape; those so near to one that half precision shows no difference don't count.
+    wide = 0.25 * (np.sqrt(1 + np.e * np.log(max(1.0, opacity))) - 1) > 2.0**-11
+    meta = {"rgbMin": rgb[0], "rgbMax": rgb[1], "lnScaleMin": ln[0], "lnScaleMax": ln[1], "sh1Max": 127 / 128, "sh2Max": 127 / 128, "sh3Max": 127 / 128, "lodOpacity": True}
+    return {"alphaF16": bool(wide), "rgbF16": bool(rgb[0] < -1 or rgb[1] > 2), "scaleF16": bool(ln[1] - ln[0] > 25), "meta": meta}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from math import pi
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +15,9 @@ from ..functions import geometry as G
 from ..functions import vectors as V
 from ..functions.scalars import lit
 from .filters import COLOUR, POSITION, ROTATION, SCALE
+from .merging import shaped
 from .running import checkpointed, running_totals
-from .spatial import AXES, morton_ordered
+from .spatial import AXES
 
 COVARIANCE = ("cxx", "cxy", "cxz", "cyy", "cyz", "czz")
 
@@ -139,36 +139,16 @@ def merged_moments(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def _shapes(batches):
-    """Scales and rotations of covariances, largest axis first, and the opacity that keeps the weight."""
+    """Scales and rotations of covariances, largest axis first, and the opacity that keeps the weight; null where a
+    covariance isn't finite."""
     for batch in batches:
         rows = batch.to_pandas()
         c = rows[list(COVARIANCE)].to_numpy(float)
-        m = c[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3)
-        values, axes = np.linalg.eigh(m) if len(m) else (np.zeros((0, 3)), np.zeros((0, 3, 3)))
-        values, axes = values[:, ::-1], axes[:, :, ::-1].copy()
-        axes[np.linalg.det(axes) < 0, :, 2] *= -1
-        scale = np.maximum(1e-30, np.sqrt(np.maximum(values, 0)))
-        q = _quaternions(axes)
-        p = G.SURFACE_POWER
-        x, y, z = scale.T
-        area = 4 * pi * (((x * y) ** p + (x * z) ** p + (y * z) ** p) / 3) ** (1 / p)
-        opacity = np.clip(rows["weight"].to_numpy(float) / np.maximum(area, 1e-300), 1e-6, 1000)
-        new = [*scale.T, *q.T, opacity]
+        fine = np.isfinite(c).all(axis=1)
+        made = np.full((len(c), 8), np.nan)
+        made[fine] = shaped(c[fine][:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3), rows["weight"].to_numpy(float)[fine])
         names = ["sx", "sy", "sz", "qx", "qy", "qz", "qw", "opacity"]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, new)], names=[*batch.schema.names, *names])
-
-
-def _quaternions(m: np.ndarray) -> np.ndarray:
-    """Unit quaternions of rotation matrices, through the largest component."""
-    t = np.stack([1 + m[:, 0, 0] - m[:, 1, 1] - m[:, 2, 2], 1 - m[:, 0, 0] + m[:, 1, 1] - m[:, 2, 2], 1 - m[:, 0, 0] - m[:, 1, 1] + m[:, 2, 2], 1 + m[:, 0, 0] + m[:, 1, 1] + m[:, 2, 2]], 1)
-    k = t.argmax(axis=1)
-    a = [m[:, 2, 1] - m[:, 1, 2], m[:, 0, 2] - m[:, 2, 0], m[:, 1, 0] - m[:, 0, 1]]
-    s = [m[:, 0, 1] + m[:, 1, 0], m[:, 0, 2] + m[:, 2, 0], m[:, 1, 2] + m[:, 2, 1]]
-    table = np.stack([
-        np.stack([t[:, 0], s[0], s[1], a[0]], 1), np.stack([s[0], t[:, 1], s[2], a[1]], 1), np.stack([s[1], s[2], t[:, 2], a[2]], 1), np.stack([*a, t[:, 3]], 1),
-    ])
-    q = table[k, np.arange(len(m))]
-    return q / np.linalg.norm(q, axis=1, keepdims=True)
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, mask=~fine) for x in made.T)], names=[*batch.schema.names, *names])
 
 
 def merge_groups(rows: DataFrame, *keys: str) -> DataFrame:
@@ -179,35 +159,6 @@ def merge_groups(rows: DataFrame, *keys: str) -> DataFrame:
     return moments.mapInArrow(_shapes, schema).drop(*COVARIANCE)
 
 
-def neighbour_pairs(rows: DataFrame, reach: int = 8, key: str = "id") -> DataFrame:
-    """(a, b, score) of rows at most ``reach`` apart in Morton order, with the log-similarity of the two.
-
-    Each row meets a fixed number of others, however dense its surroundings are.
-    """
-    o = with_covariance(morton_ordered(rows, key)).select(F.col(key).alias("k"), "rank", *AXES, "r", "g", "b", *COVARIANCE)
-    o = checkpointed(o)
-    steps = o.select(*o.columns, F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("step")).withColumn("at", F.col("rank") + F.col("step"))
-    other = o.select(*(F.col(c).alias(f"o_{c}") for c in o.columns))
-    pairs = steps.join(other, F.col("at") == F.col("o_rank"))
-    own = [F.col(c) for c in (*AXES, *COVARIANCE, "r", "g", "b")]
-    theirs = [F.col(f"o_{c}") for c in (*AXES, *COVARIANCE, "r", "g", "b")]
-    score = G.log_similarity(own[:3], own[3:9], own[9:], theirs[:3], theirs[3:9], theirs[9:])
-    return pairs.select(F.col("k").alias("a"), F.col("o_k").alias("b"), score.alias("score"))
-
-
-def mutual_best(pairs: DataFrame) -> DataFrame:
-    """(a, b, score) with a < b where each is the other's best.
-
-    Ties go by a hash of the pair, the same from either side: of many equal rows a good share then pairs up at once, which
-    they would not if all chose the smallest id.
-    """
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
-    lot = F.xxhash64(F.least("a", "b"), F.greatest("a", "b"))
-    best = both.groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("cost"), lot.alias("lot"), "b")).alias("m")).select("a", "m.b", "m.cost")
-    back = best.select(F.col("a").alias("b"), F.col("b").alias("a"))
-    return best.join(back, ["a", "b"]).where("a < b").select("a", "b", (-F.col("cost")).alias("score"))
-
-
 def mean_harmonics(rows: DataFrame, *keys: str, weight: Column | None = None, column: str = "sh") -> DataFrame:
     """(keys, column): each coefficient's weighted mean over a group; what a row lacks counts as zero.
 
@@ -223,31 +174,6 @@ def mean_harmonics(rows: DataFrame, *keys: str, weight: Column | None = None, co
     return whole.join(arrays, list(keys), "left").select(*keys, mean.alias(column))
 
 
-def merge_step(rows: DataFrame, reach: int = 8, key: str = "id") -> tuple[DataFrame, DataFrame]:
-    """(links, merged): mutual best pairs become one row under the smaller id, the others stay.
-
-    links: (key, parent) of every row. Harmonics (a column ``sh``) are merged if there are any. Rounds of pairs stand in
-    for one long sequence of merges, so trees differ from a sequential builder's; each merge is of two, and n rows become
-    one after n - 1 of them.
-    """
-    pairs = checkpointed(mutual_best(neighbour_pairs(rows, reach, key)))
-    to = pairs.select(F.col("a").alias(key), F.col("a").alias("__to")).unionByName(pairs.select(F.col("b").alias(key), F.col("a").alias("__to")))
-    fields = [*AXES, "r", "g", "b", "sx", "sy", "sz", "qx", "qy", "qz", "qw", "opacity", *(["sh"] if "sh" in rows.columns else [])]
-    joined = rows.select(key, *fields).join(to, key, "left")
-    both = joined.where("__to IS NOT NULL")
-    merged = merge_groups(both, "__to")
-    if "sh" in fields:
-        merged = merged.join(mean_harmonics(both, "__to"), "__to")
-    merged = merged.withColumnRenamed("__to", key)
-    links = joined.select(key, F.coalesce("__to", key).alias("parent"))
-    return links, joined.where("__to IS NULL").select(key, *fields).unionByName(merged.select(key, *fields))
-
-
-def merge_round(rows: DataFrame, reach: int = 8, key: str = "id") -> DataFrame:
-    """One round up: ``merge_step`` without its links."""
-    return merge_step(rows, reach, key)[1]
-
-
 def assigned(rows: DataFrame, representatives: DataFrame, radius: float, key: str = "id", cell: float | None = None) -> DataFrame:
     """(key, rep, distance) of every row: its nearest representative within the radius, ties to the smaller id, or null.
 

@@ -11,40 +11,44 @@ from pyspark.sql.window import Window
 from ..functions import vectors as V
 from ..functions.scalars import lit
 from .filters import POSITION, SCALE
-from .lod import merge_step, with_covariance
-from .running import checkpointed, ranked
+from .lod import with_covariance
+from .merging import merge_step, usual_side, weight
+from .running import ranked, stored
 from .spatial import AXES, cell, centre_bounds, finite_centre, interleaved
 
 
-def built_levels(rows: DataFrame, root: int = 262_144, factor: float = 4.0, reach: int = 8, key: str = "id") -> DataFrame:
-    """(level, key, parent, row): every level from the rows themselves (0) to one of at most ``root`` rows.
+def built_levels(rows: DataFrame, root: int = 262_144, factor: float = 4.0, key: str = "id", rounds: int = 200) -> DataFrame:
+    """(level, key, parent, row and its weight): every level from the rows themselves (0) to one of at most ``root`` rows.
 
-    A level has its predecessor's rows divided by ``factor`` or fewer; rounds of merges are taken until it does, and their
-    links are put together, so that ``parent`` is the key of the row above (null in the last level). Each round is written
-    out; only counts reach the driver. Rows of equal or no position merge like others; an empty table gives no rows.
+    A level has its predecessor's rows divided by ``factor``, rounded up, or one less if that isn't fewer: rounds of merges
+    are taken until just so many are left, of the last round's pairs the most similar. A round is a plan of a fixed size
+    over written rows and its links are put together with those before, so that ``parent`` is the key of the row above
+    (null in the last level). Cells grow when a round merged few rows. Weights and weighted centres add up to the same at
+    every level. Rows whose numbers aren't all finite are merged when nothing else is left to merge (``merge_step``). Keys
+    are whole numbers, each of one row. An empty table gives no rows.
     """
     if root < 1 or factor <= 1:
         raise ValueError("a root of one row or more, and a factor above one")
-    rows = checkpointed(rows)
+    rows = stored(rows if "weight" in rows.columns else rows.withColumn("weight", weight()))
     n, level, out = rows.count(), 0, None
-    while True:
-        here = rows.withColumn("level", F.lit(level))
-        if n <= root:
-            last = here.withColumn("parent", F.lit(None).cast(rows.schema[key].dataType))
-            return last if out is None else out.unionByName(last, allowMissingColumns=True)
-        target, links = min(n - 1, ceil(n / factor)), None
-        while n > target:
-            step, rows = merge_step(rows, reach, key)
+    while n > root:
+        here, target, links, (side, length) = rows.withColumn("level", F.lit(level)), min(n - 1, ceil(n / factor)), None, usual_side(rows)
+        for _ in range(rounds):
+            step, merged = merge_step(rows, side, key, most=n - target, anyhow=side > 2 * length)
             step = step.select(F.col(key).alias("__from"), F.col("parent").alias("__to"))
-            if links is None:
-                links = checkpointed(step.toDF(key, "parent"))
-            else:
-                links = checkpointed(links.join(step, F.col("parent") == F.col("__from")).select(key, F.col("__to").alias("parent")))
-            rows = checkpointed(rows)
-            n = rows.count()
+            new = step.toDF(key, "parent") if links is None else links.join(step, F.col("parent") == F.col("__from")).select(key, F.col("__to").alias("parent"))
+            links, rows = stored(new), stored(merged)
+            left = rows.count()
+            side, n = side * (4 if left == n else 2 if n - left < n // 8 else 1.26), left
+            if n <= target:
+                break
+        else:
+            raise RuntimeError(f"level {level} has {n} rows, not {target}, after {rounds} rounds")
         done = here.join(links, key)
         out = done if out is None else out.unionByName(done, allowMissingColumns=True)
         level += 1
+    last = rows.withColumns({"level": F.lit(level), "parent": F.lit(None).cast(rows.schema[key].dataType)})
+    return last if out is None else out.unionByName(last, allowMissingColumns=True)
 
 
 def one_row_space(levels: DataFrame, key: str = "id") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.scalars import fixed, lit
-from ..operators import codebooks, lod, spatial
+from ..operators import codebooks, lod, merging, spatial
 from ..streaming import schedule
 from .adapter import splats, table
 from .registry import S, fx, query
@@ -125,7 +125,7 @@ def merge_groups(spark, sf_dir):
 
 @query()
 def merge_round(spark, sf_dir):
-    return lod.merge_round(splats(spark, sf_dir)).select("id", *(fixed(F.col(c), 3).alias(c) for c in ("x", "y", "z", "opacity")))
+    return merging.merge_round(splats(spark, sf_dir)).select("id", *(fixed(F.col(c), 3).alias(c) for c in ("x", "y", "z", "opacity")))
 
 
 REPS = "r AS (SELECT s.id AS rep, x AS rx, y AS ry, z AS rz FROM s JOIN (SELECT min(id) AS id FROM s GROUP BY floor(x/20), floor(y/20), floor(z/20)) USING (id))"
@@ -159,6 +159,17 @@ def bhattacharyya_pair(spark, sf_dir):
     return rows.join(other, "id").select("id", fixed(G.log_similarity(*own, *theirs), 4).alias("score"))
 
 
+_SIDE = 8.0
+_NEAR = " AND ".join(f"b.c{a} BETWEEN a.c{a} - 1 AND a.c{a} + 1" for a in P)
+
+
+@query(S + f""", c AS (SELECT id, x, y, z, r, g, b, {', '.join(f'CAST(floor({a}/{_SIDE}) AS BIGINT) AS c{a}' for a in P)}, {', '.join(f'{_cov(i, j)} AS {n}' for n, (i, j) in zip(COV, PAIRS))} FROM s),
+p AS (SELECT a.id, {', '.join(f'a.{n} AS a{n[1:]}, b.{n} AS b{n[1:]}, (a.{n}+b.{n})/2 AS m{n[1:]}' for n in COV)}, a.x-b.x AS dx, a.y-b.y AS dy, a.z-b.z AS dz, (a.r-b.r)*(a.r-b.r)+(a.g-b.g)*(a.g-b.g)+(a.b-b.b)*(a.b-b.b) AS dc FROM c a JOIN c b ON {_NEAR} AND a.id <> b.id)
+SELECT id, {fx(f"max(least(0, 0.25::DOUBLE*ln({_det('a')})+0.25::DOUBLE*ln({_det('b')})-0.5::DOUBLE*ln({_det('m')})-{_quad('m')}/8)-dc)", 4)} AS score FROM p GROUP BY id""")
+def partner_scores(spark, sf_dir):
+    return merging.best_partners(splats(spark, sf_dir), _SIDE).select("id", fixed(F.col("score"), 4).alias("score"))
+
+
 TREE = CODED + f", n AS (SELECT l AS level, morton >> (30-3*l) AS node, count(*) AS n, min(x) AS min_x, min(y) AS min_y, min(z) AS min_z, max(x) AS max_x, max(y) AS max_y, max(z) AS max_z, max(2*greatest(sx,sy,sz)*{WIDER}) AS feature FROM k, range(4) t(l) GROUP BY 1, 2)"
 LEVELS = 3
 

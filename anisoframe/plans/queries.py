@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import levels, rows, scenes, space, trees  # noqa: F401 - each module registers its queries
+from . import files, levels, rows, scenes, space, trees  # noqa: F401 - each module registers its queries
 from .adapter import splats
 from .registry import QUERIES, SQL
 

@@ -149,18 +149,19 @@ def log_position(spark, sf_dir):
     return rows.select("id", code, "lo", "hi").select("id", "code", fixed(codecs.decode_log_position(F.col("code"), F.col("lo"), F.col("hi")), 5).alias("x"))
 
 
-def _newton(power, mass):
-    """SQL of one Newton step of the kernel's mass."""
-    terms = [f"1/({power}+{k + 1})" for k in range(8)]
-    x = f"({power}+9)"
-    value = f"(0.5772156649015329::DOUBLE - ({'+'.join(terms)}) + ln({x}) - 0.5::DOUBLE/{x} - 1/(12*{x}*{x}) + 1/(120*pow({x},4)) - 1/(252*pow({x},6)) + 1/(240*pow({x},8)))"
-    slope = f"(({'+'.join(f'1/(({power}+{k + 1})*({power}+{k + 1}))' for k in range(8))}) + 1/{x} + 0.5::DOUBLE/({x}*{x}) + 1/(6*pow({x},3)) - 1/(30*pow({x},5)) + 1/(42*pow({x},7)) - 1/(30*pow({x},9)))"
-    return f"{power} - ({value} - {mass})/{slope}"
-
-
-@query(S + f""", m AS (SELECT id, opacity*3 AS mass FROM s), p0 AS MATERIALIZED (SELECT id, mass, exp(mass-0.5772156649015329::DOUBLE)-0.5::DOUBLE AS p FROM m),
-p1 AS MATERIALIZED (SELECT id, mass, {_newton('p', 'mass')} AS p FROM p0), p2 AS MATERIALIZED (SELECT id, mass, {_newton('p', 'mass')} AS p FROM p1), p3 AS (SELECT id, mass, {_newton('p', 'mass')} AS p FROM p2)
-SELECT id, {fx('CASE WHEN mass <= 1 THEN mass ELSE p END', 5)} AS opacity FROM p3""")
+#: Terms of the partial sums below; what follows them is between two integrals, whose mean is off by less than 1e-10.
+_TERMS = 2000
+
+
+def _halved(p: str, mass: str) -> str:
+    """SQL of whether the kernel of a power holds less than the mass: the sum of 1/k - 1/(k+p), its tail by an integral."""
+    return f"list_sum(list_transform(range(1, {_TERMS}), lambda k: {p}/(k*(k+{p})))) + ln(1 + {p}/({_TERMS} - 0.5::DOUBLE)) < {mass}"
+
+
+@query("WITH RECURSIVE s AS (" + S.removeprefix("WITH s AS (") + f""", m AS (SELECT DISTINCT opacity*3 AS mass FROM s),
+b(mass, low, high, step) AS (SELECT mass, 0::DOUBLE, exp(mass), 0 FROM m WHERE mass > 1
+UNION ALL SELECT mass, CASE WHEN {_halved('(low+high)/2', 'mass')} THEN (low+high)/2 ELSE low END, CASE WHEN {_halved('(low+high)/2', 'mass')} THEN high ELSE (low+high)/2 END, step + 1 FROM b WHERE step < 48)
+SELECT id, {fx('coalesce((low+high)/2, opacity*3)', 5)} AS opacity FROM s LEFT JOIN b ON b.mass = s.opacity*3 AND step = 48""")
 def mass_to_opacity(spark, sf_dir):
     rows = splats(spark, sf_dir).select("id", (F.col("opacity") * lit(3)).alias("mass"))
     return rows.select("id", fixed(codecs.mass_to_opacity(F.col("mass")), 5).alias("opacity"))
