@@ -4,7 +4,8 @@ First the BK-trees of ``simhash`` link fingerprints (of the same shingles) that
 are compared by their whole shingle sets. At 80 % about 10 of 64 bits differ, and a radius that reaches nearly all such
 pairs leaves no blocks that are equal and still tell texts apart; so what isn't linked yet is joined by shingles.
 
-The distinct shingles of all texts are put in one order, common ones last. Of two sets of which ``percent`` of the union or
+The distinct shingles of all texts are put in one order, common ones last; what chunks of texts show as common gives a first
+order, and what then stands in the prefixes of many texts is common in the second. Of two sets of which ``percent`` of the union or
 more is shared, the first n - ceil(percent n / 100) + 1 shingles of each have one in common, so every similar pair meets
 under a shingle. Pairs that can't reach the similarity by their sizes, by what is left behind the shingle, or by sketches of a
 bit for each shingle drop out, none of them a similar pair; the others are compared by their whole sets.
@@ -38,6 +39,8 @@ STARS = 1
 #: Shingles counted at once, how often one must be seen among them, and how many the order knows as common. The order
 #: decides how many pairs are compared, never which are found.
 CHUNK, SEEN, COMMON = 1 << 19, 4, 1 << 17
+#: Texts that a shingle of first prefixes may stand in before it is counted as common and prefixes are taken anew.
+CROWD = 16
 #: Rows of an Arrow batch here: a pair holds two whole texts. And pairs of one text that a task gets.
 PAIR_ROWS, PARTNERS = 100, 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -143,10 +146,25 @@ def _mark(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
+def _with_crowd(common: tuple[np.ndarray, np.ndarray], docs: DataFrame, text_col: str, shingle: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The common shingles, and those that stand in the prefixes of more than ``CROWD`` texts by their order; of both the
+    most common ones, ``COMMON`` at most."""
+    order = docs.sparkSession.sparkContext.broadcast(common)
+    look = lambda texts: pa.array([prefix(shingles(t, shingle), *order.value, percent).view(np.int64) for t in as_bytes(texts)], pa.list_(pa.int64()))
+    keys = docs.select(F.explode(F.arrow_udf(look, T.ArrayType(LONG))(text_col)).alias("key"))
+    rows = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
+    values = np.concatenate([rows.column("key").to_numpy().astype(np.int64).view(np.uint64), common[0]])
+    counts = np.concatenate([rows.column("n").to_numpy().astype(np.int64), common[1].astype(np.int64)])
+    values, first = np.unique(values, return_index=True)  # of a shingle in both, the count of all prefixes
+    counts = counts[first]
+    keep = np.sort(np.argsort(-counts, kind="stable")[:COMMON])
+    return values[keep], counts[keep]
+
+
 def _heads(docs: DataFrame, text_col: str, shingle: int, percent: int) -> DataFrame:
     """(mark, n, prefix, sketch) of every different text, as a written table; only texts that occur twice are shuffled."""
     spark = docs.sparkSession
-    order = spark.sparkContext.broadcast(_common(docs, text_col, shingle))
+    order = spark.sparkContext.broadcast(_with_crowd(_common(docs, text_col, shingle), docs, text_col, shingle, percent))
     shape = pa.struct([("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def look(texts: pa.Array) -> pa.Array:
