@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
 import pyarrow as pa
@@ -52,8 +53,21 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+#: The C library's call that gives free memory back, where it has one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Memory that earlier batches needed goes back to the system: a Python worker stays when its task is done, and others
+    work beside it."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def as_bytes(texts: pa.Array) -> list[bytes]:
-    """The UTF-8 bytes of every text; null becomes empty."""
+    """The UTF-8 bytes of every text; null becomes empty. What the batch before needed is given back first."""
+    give_back()
     return [b if b is not None else b"" for b in texts.cast(pa.large_binary()).to_pylist()]
 
 
