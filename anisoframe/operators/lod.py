@@ -64,6 +64,46 @@ def best_cuts(bins: DataFrame, node: str = "node") -> DataFrame:
     return b.groupBy(node).agg(first).select(node, "f.axis", "f.cut")
 
 
+def box_bins(rows: DataFrame, node: str = "node", bins: int = 256) -> DataFrame:
+    """(node, axis, bin, n, lo, hi, min_*, max_*): rows of each node in even bins of each axis, with the box of a bin's
+    centres and the node's ends on the axis. One grouped count for all nodes; an axis of no length has no bins."""
+    ends = rows.groupBy(node).agg(*(f(a).alias(f"__{n}_{a}") for n, f in (("min", F.min), ("max", F.max)) for a in AXES))
+    axes = [F.struct(F.lit(i).alias("axis"), F.col(a).alias("v"), F.col(f"__min_{a}").alias("lo"), F.col(f"__max_{a}").alias("hi")) for i, a in enumerate(AXES)]
+    longest = F.greatest(*(F.col(f"__max_{a}") - F.col(f"__min_{a}") for a in AXES))
+    each = rows.join(ends, node).select(node, *AXES, F.greatest(longest * lit(1e-9), lit(1e-9)).alias("eps"), F.explode(F.array(*axes)).alias("e")).select(node, *AXES, "eps", "e.*")
+    each = each.where("hi - lo > eps").withColumn("bin", F.least(F.lit(bins - 1).cast("long"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * lit(bins))))
+    both = [f(a).alias(f"{n}_{a}") for n, f in (("min", F.min), ("max", F.max)) for a in AXES]
+    return each.groupBy(node, "axis", "bin").agg(F.count("*").alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("eps").alias("eps"), *both)
+
+
+def area_cuts(binned: DataFrame, node: str = "node", bins: int = 256) -> DataFrame:
+    """(node, axis, bin, cut): for each node the end of the bin behind which a cut costs least.
+
+    A cut costs the surfaces of both sides' boxes times their rows, times both volumes, by the node's own, and more across
+    shorter axes. Of equal cuts that of less volume, less of the larger volume, less surface, less of the larger surface,
+    more even sides, a longer axis, the first axis, the first bin. Boxes of both sides are running ones over the bins of an
+    axis, of which a node has ``bins`` at most.
+    """
+    by = Window.partitionBy(node, "axis").orderBy("bin")
+    before, after = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(1, Window.unboundedFollowing)
+    whole, all_axes = Window.partitionBy(node, "axis"), Window.partitionBy(node)
+    sides = {"l": before, "r": after, "p": whole}
+    columns = {f"{k}n": F.sum("n").over(w) for k, w in sides.items()}
+    columns |= {f"{k}_{end}_{a}": f(f"{end}_{a}").over(w) for k, w in sides.items() for end, f in (("min", F.min), ("max", F.max)) for a in AXES}
+    b = binned.withColumns(columns).withColumn("longest", F.max(F.col("hi") - F.col("lo")).over(all_axes)).where("rn IS NOT NULL")
+    length = {f"{k}{a}": F.greatest("eps", F.col(f"{k}_max_{a}") - F.col(f"{k}_min_{a}")) for k in sides for a in AXES}
+    b = b.withColumns(length)
+    x, y, z = ({k: F.col(f"{k}{a}") for k in sides} for a in AXES)
+    b = b.withColumns({f"{k}s": lit(2) * (x[k] * y[k] + x[k] * z[k] + y[k] * z[k]) * (F.lit(1) if k == "p" else F.col(f"{k}n")) for k in sides} | {f"{k}v": x[k] * y[k] * z[k] for k in sides})
+    extent = F.col("hi") - F.col("lo")
+    sah, volume = F.col("ls") + F.col("rs"), F.col("lv") + F.col("rv")
+    score = sah / (F.col("ps") * F.col("pn")) * volume / F.col("pv") * F.sqrt(F.col("longest") / extent)
+    order = [score, volume, F.greatest("lv", "rv"), sah, F.greatest("ls", "rs"), F.abs(F.col("ln") - F.col("rn")) / F.col("pn"), -extent, F.col("axis"), F.col("bin")]
+    cut = F.col("lo") + extent * (F.col("bin") + 1) / lit(bins)
+    first = F.min(F.struct(*(c.alias(f"o{k}") for k, c in enumerate(order)), cut.alias("cut"))).alias("f")
+    return b.groupBy(node).agg(first).select(node, F.col("f.o7").alias("axis"), F.col("f.o8").alias("bin"), "f.cut")
+
+
 def regions(rows: DataFrame, limit: int, key: str = "id", depth: int = 48) -> DataFrame:
     """``rows`` with a region of at most ``limit`` rows each: nodes over the limit are cut, all of a level in one pass.
 
@@ -79,7 +119,7 @@ def regions(rows: DataFrame, limit: int, key: str = "id", depth: int = 48) -> Da
         if full.isEmpty():
             return done
         big = rows.join(full, "region")
-        cuts = best_cuts(axis_bins(big.drop("__n"), "region"), "region")
+        cuts = area_cuts(box_bins(big.select("region", *AXES), "region"), "region").drop("bin")
         at = F.element_at(F.array(*POSITION), F.col("axis") + 1)
         parted = big.join(cuts, "region", "left")
         one = F.when(F.col("axis").isNull(), F.concat(F.lit("s"), F.pmod(F.xxhash64(key), F.ceil(F.col("__n") / limit) + 1)))

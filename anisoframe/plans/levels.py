@@ -91,6 +91,25 @@ def kd_bins(spark, sf_dir):
     return lod.axis_bins(splats(spark, sf_dir).withColumnRenamed("segment", "node"))
 
 
+def _running(k: str, frame: str) -> str:
+    return ", ".join([f"sum(n) OVER {frame} AS {k}n", *(f"{f}({f}_{a}) OVER {frame} AS {k}_{f}_{a}" for f in ("min", "max") for a in P)])
+
+
+_LENGTHS = ", ".join(f"greatest(eps, {k}_max_{a} - {k}_min_{a}) AS {k}{a}" for k in "lrp" for a in P)
+_SURFACE = {k: f"2 * ({k}x * {k}y + {k}x * {k}z + {k}y * {k}z)" for k in "lrp"}
+_AXES = " UNION ALL ".join(f"SELECT s.segment, {i} AS axis, s.{a} AS v, lo{a} AS lo, hi{a} AS hi, eps, x, y, z FROM s JOIN e USING (segment)" for i, a in enumerate(P))
+
+
+@query(S + f""", f AS (SELECT segment, {', '.join(f'min({a}) AS lo{a}, max({a}) AS hi{a}' for a in P)} FROM s GROUP BY segment), e AS (SELECT *, greatest(greatest(hix - lox, hiy - loy, hiz - loz) * 1e-9, 1e-9) AS eps FROM f),
+u AS ({_AXES}), b AS (SELECT segment, axis, least(255, CAST(floor((v - lo) / (hi - lo) * 256) AS BIGINT)) AS bin, count(*) AS n, any_value(lo) AS lo, any_value(hi) AS hi, any_value(eps) AS eps, {', '.join(f'min({a}) AS min_{a}, max({a}) AS max_{a}' for a in P)} FROM u WHERE hi - lo > eps GROUP BY 1, 2, 3),
+w AS (SELECT *, {_running('l', '(PARTITION BY segment, axis ORDER BY bin ROWS UNBOUNDED PRECEDING)')}, {_running('r', '(PARTITION BY segment, axis ORDER BY bin ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)')}, {_running('p', '(PARTITION BY segment, axis)')}, max(hi - lo) OVER (PARTITION BY segment) AS longest FROM b),
+d AS (SELECT *, {_LENGTHS} FROM w WHERE rn IS NOT NULL), c AS (SELECT segment, axis, bin, lo + (hi - lo) * (bin + 1) / 256 AS cut, ({_SURFACE['l']} * ln + {_SURFACE['r']} * rn) / ({_SURFACE['p']} * pn) * (lx * ly * lz + rx * ry * rz) / (px * py * pz) * sqrt(longest / (hi - lo)) AS score FROM d)
+SELECT segment AS node, axis, bin, {fx('cut')} AS cut FROM c QUALIFY row_number() OVER (PARTITION BY segment ORDER BY score, axis, bin) = 1""")
+def area_cuts(spark, sf_dir):
+    rows = splats(spark, sf_dir).withColumnRenamed("segment", "node")
+    return lod.area_cuts(lod.box_bins(rows)).select("node", "axis", "bin", fixed(F.col("cut")).alias("cut"))
+
+
 @query()
 def kd_regions(spark, sf_dir):
     out = lod.regions(splats(spark, sf_dir), 1000)
