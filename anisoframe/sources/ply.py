@@ -163,31 +163,58 @@ def read_ply(spark: SparkSession, uri: str) -> DataFrame:
 
 def encode(columns: np.ndarray, sh: np.ndarray | None = None) -> bytes:
     """A standard file of rows in the order of ``COLUMNS``; harmonics three together."""
-    n, count = len(columns), 0 if sh is None else sh.shape[1]
+    return heading(len(columns), 0 if sh is None else sh.shape[1]) + records(columns, sh)
+
+
+def heading(n: int, count: int) -> bytes:
+    """The header of a standard file of n rows with so many harmonics."""
     names = ["x", "y", "z", "opacity", "f_dc_0", "f_dc_1", "f_dc_2", "scale_0", "scale_1", "scale_2", "rot_1", "rot_2", "rot_3", "rot_0", *(f"f_rest_{i}" for i in range(count))]
+    head = "ply\nformat binary_little_endian 1.0\n" + f"element vertex {n}\n" + "".join(f"property float {c}\n" for c in names) + "end_header\n"
+    return head.encode()
+
+
+def records(columns: np.ndarray, sh: np.ndarray | None = None) -> bytes:
+    n, count = len(columns), 0 if sh is None else sh.shape[1]
     data = columns.astype(float).copy()
-    with np.errstate(divide="ignore"):
+    with np.errstate(divide="ignore", invalid="ignore"):
         data[:, 3] = np.log(data[:, 3]) - np.log1p(-data[:, 3])
         data[:, 7:10] = np.log(data[:, 7:10])
     data[:, 4:7] = (data[:, 4:7] - 0.5) / SH_C0
     if count:
         data = np.column_stack([data, sh.reshape(n, -1, 3).transpose(0, 2, 1).reshape(n, count)])
-    head = "ply\nformat binary_little_endian 1.0\n" + f"element vertex {n}\n" + "".join(f"property float {c}\n" for c in names) + "end_header\n"
-    return head.encode() + data.astype("<f4").tobytes()
+    return data.astype("<f4").tobytes()
 
 
 def write_ply(rows: DataFrame, folder: str) -> DataFrame:
-    """Write every partition as a file; returns (file, n). Files are published whole, under names of their own."""
+    """Write every partition as a file, with the harmonics (``sh``) if rows have them; returns (file, n).
+
+    Files are published whole, under names of their own. A task holds the bytes of its file, not its rows. Rows of a file
+    have one number of harmonics; a null or short list is filled with zeros up to the
+    longest of the first batch, and a longer one later is an error.
+    """
     import uuid
 
+    columns = [*COLUMNS, *(["sh"] if "sh" in rows.columns else [])]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
+        held, n, count = [], 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sh = None
+            if "sh" in columns:
+                lists = [x or [] for x in batch.column(len(COLUMNS)).to_pylist()]
+                count = max(map(len, lists)) if count is None else count
+                if count not in SH_COUNTS or max(map(len, lists)) > count:
+                    raise ValueError("rows with several numbers of harmonics")
+                sh = np.array([x + [0.0] * (count - len(x)) for x in lists], float).reshape(len(lists), count)
+            held.append(records(np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(len(COLUMNS))]), sh))
+            n += batch.num_rows
         if held:
-            table = pa.Table.from_batches(held)
             uri = f"{folder}/{uuid.uuid4().hex}.ply"
             system, path = opened(folder)
             system.create_dir(path, recursive=True)
-            write_bytes(uri, encode(np.column_stack([table[c].to_numpy() for c in COLUMNS])))
-            yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([table.num_rows])], names=["file", "n"])
+            write_bytes(uri, heading(n, count or 0) + b"".join(held))
+            yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([n])], names=["file", "n"])
 
-    return rows.select(*COLUMNS).mapInArrow(run, "file string, n long")
+    return rows.select(*columns).mapInArrow(run, "file string, n long")
