@@ -17,7 +17,7 @@ from .running import ranked, stored
 from .spatial import AXES, cell, centre_bounds, finite_centre, interleaved
 
 
-def built_levels(rows: DataFrame, root: int = 262_144, factor: float = 4.0, key: str = "id", rounds: int = 200) -> DataFrame:
+def built_levels(rows: DataFrame, root: int = 262_144, factor: float = 2.0, key: str = "id", rounds: int = 200) -> DataFrame:
     """(level, key, parent, row and its weight): every level from the rows themselves (0) to one of at most ``root`` rows.
 
     A level has its predecessor's rows divided by ``factor``, rounded up, or one less if that isn't fewer: rounds of merges
