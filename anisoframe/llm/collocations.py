@@ -7,10 +7,10 @@ k words is the pair of its first and its last k - 1 words, a name is a row with
 cuts and the phrases that hold it are looked up. Only what is frequent at one level is looked at in the next, which loses
 nothing: a phrase is never more frequent than its parts.
 
-Names come to the places in one of two ways, with the same result. As long as the names of a level are within ``SHARED``
-bytes, all tasks get them, and each level reads the texts again; nothing but counts is shuffled. Beyond that blocks are
-written, their distinct grams are joined with the names, and what a block's codes are called is put together by block: a
-word that all texts have is one row for each block.
+A name is a digest of what it stands for (XXH64 of language and word, then of the two names of a pair), so that every task
+can give it without a table of names. All that tasks get of a level is a bit set of the frequent names, of ``SHARED`` bytes
+at most however many there are: what it lets through without need is counted and then dropped, as it isn't frequent. Each
+level reads the texts again, and nothing but counts is shuffled.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +31,10 @@ from .files import new_folder
 
 #: Bytes of texts in a block, unless a single text has more.
 BLOCK_BYTES = 3 << 20
-#: Bytes of names that all tasks get, of one level, at most.
-SHARED = 64 << 20
+#: Bytes of the set of a level's frequent names that all tasks get, at most.
+SHARED = 16 << 20
 #: Different grams that a task counts before it hands them on.
-HELD = 1_000_000
+HELD = 500_000
 #: The language of texts without one.
 UNKNOWN = "und"
 #: What a cut's score is multiplied with before it is rounded down.
@@ -102,58 +102,64 @@ def _text_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _word_block(block, langs, texts)
 
 
-class Shared:
-    """Names of one level that all tasks hold: words by language, or pairs of names of the level before."""
+# XXH64 as Spark has it.
+_SEED = 42
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
-    def __init__(self, names: pa.Table, below: Shared | None):
-        names = names.combine_chunks()
-        self.ids = names["id"].to_numpy()
-        if below is None:
-            self.words = pc.binary_join_element_wise(*(names[c].combine_chunks() for c in ("lang", "word")), "\t")
-        else:
-            # Names of the level before by their place there, so that a pair is one number.
-            self.below = np.sort(below.ids)
-            keys = np.searchsorted(self.below, names["left"].to_numpy()) << 32 | np.searchsorted(self.below, names["right"].to_numpy())
-            order = np.argsort(keys)
-            self.keys, self.ids = keys[order], self.ids[order]
-
-    def named(self, grams: pa.StructArray) -> np.ndarray:
-        """The names of a block's grams, -1 for none."""
-        if not len(self.ids):
-            return np.full(len(grams), -1)
-        if grams.type.get_field_index("word") >= 0:
-            # Words hold no tab, so that the last one parts the two.
-            at = pc.index_in(pc.binary_join_element_wise(grams.field("lang"), grams.field("word"), "\t"), value_set=self.words)
-            return np.append(self.ids, -1)[pc.fill_null(at, len(self.ids)).to_numpy(zero_copy_only=False)]
-        left, right = (np.searchsorted(self.below, grams.field(c).to_numpy(zero_copy_only=False)) for c in ("left", "right"))
-        at = np.minimum(np.searchsorted(self.keys, left << 32 | right), len(self.keys) - 1)
-        return np.where(self.keys[at] == left << 32 | right, self.ids[at], -1)
-
-
-def _raised(block: pa.RecordBatch | None, levels: list[Shared]) -> pa.RecordBatch | None:
-    """A block of words, some levels up."""
-    for names in levels:
-        if block is not None:
-            block = pair_block(block.column(0)[0].as_py(), block.column(1)[0].values.to_numpy(zero_copy_only=False), names.named(block.column(2)[0].values))
-    return block
 
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return x << np.uint64(bits) | x >> np.uint64(64 - bits)
 
-def text_blocks(docs: DataFrame, levels: list[Shared]) -> DataFrame:
-    """(block, codes, grams) of (language, text): blocks of whole texts as codes of their words by language (-1 ends a
-    piece), or of what neighbouring names make at the level after ``levels``."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _text_blocks(batches):
-            block = _raised(block, shared.value)
-            if block is not None:
-                yield block
+def _mixed(values: np.ndarray, seeds: np.ndarray | np.uint64) -> np.ndarray:
+    x = seeds + _P5 + np.uint64(8) ^ _turned(values.view(np.uint64) * _P2, 31) * _P1
+    x = _turned(x, 27) * _P1 + _P4
+    x = (x ^ x >> np.uint64(33)) * _P2
+    x = (x ^ x >> np.uint64(29)) * _P3
+    return x ^ x >> np.uint64(32)
+
+
+def names_of(grams: pa.StructArray) -> np.ndarray:
+    """The names of a block's grams, as ``xxhash64`` gives them for their columns but the count.
+
+    Of a pair's name and one of its parts the other part follows, so that phrases of three words or more only get the
+    same pair of names if two digests agree by chance.
+    """
+    if grams.type.get_field_index("word") < 0:
+        left, right = (grams.field(c).to_numpy(zero_copy_only=False) for c in ("left", "right"))
+        return _mixed(right, _mixed(left, np.uint64(_SEED))).view(np.int64)
+    seeds = {x: xxhash.xxh64_intdigest(x.encode(), _SEED) for x in grams.field("lang").unique().to_pylist()}
+    found = map(xxhash.xxh64_intdigest, as_bytes(grams.field("word")), map(seeds.__getitem__, grams.field("lang").to_pylist()))
+    return np.fromiter(found, np.uint64, len(grams)).view(np.int64)
+
+
+def frequent_set(names: DataFrame) -> np.ndarray:
+    """A bit set of the ids of a table, in words of 64 bits."""
+    found = Members(names.select("id"), "id", 8 * SHARED)
+    words = found.words.toArrow()  # of ``SHARED`` bytes at most
+    out = np.zeros(found.bits >> 6, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out
+
 
-    return docs.mapInArrow(run, PAIRS if levels else WORDS)
+def those_in(members: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Whether the set has each of the names, or lets it through."""
+    at = names & (64 * len(members) - 1)
+    return (members[at >> 6] >> (at & 63) & 1).astype(bool)
 
 
-def text_counts(docs: DataFrame, levels: list[Shared]) -> DataFrame:
-    """(keys, n) of the grams of ``text_blocks``, added up in each task as far as ``HELD`` allows."""
+def _raised(block: pa.RecordBatch | None, levels: list[np.ndarray]) -> pa.RecordBatch | None:
+    """A block of words, some levels up."""
+    for members in levels:
+        if block is not None:
+            names = names_of(block.column(2)[0].values)
+            block = pair_block(block.column(0)[0].as_py(), block.column(1)[0].values.to_numpy(zero_copy_only=False), names, those_in(members, names))
+    return block
+
+
+def text_counts(docs: DataFrame, levels: list[np.ndarray]) -> DataFrame:
+    """(keys, n) of the words by language of (language, text), or of the pairs of names at the level after ``levels`` (its
+    frequent names), added up in each task as far as ``HELD`` allows."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
     schema = (PAIRS if levels else WORDS)["grams"].dataType.elementType
     keys = schema.names[:-1]
@@ -178,12 +184,13 @@ def text_counts(docs: DataFrame, levels: list[Shared]) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def pair_block(block: int, codes: np.ndarray, names: np.ndarray) -> pa.RecordBatch | None:
-    """The pairs of neighbours that both have a name (names: by code, -1 for none); None if there are none."""
+def pair_block(block: int, codes: np.ndarray, names: np.ndarray, known: np.ndarray | None = None) -> pa.RecordBatch | None:
+    """The pairs of neighbours that both have a name; None if there are none. names: by code; known: whether a code has
+    one (else: -1 is none)."""
     if len(codes) < 2:
         return None
-    named = np.where(codes >= 0, names[codes], -1)
-    at = np.flatnonzero((named[:-1] >= 0) & (named[1:] >= 0))
+    named = (codes >= 0) & (names >= 0 if known is None else known)[codes]
+    at = np.flatnonzero(named[:-1] & named[1:])
     if not len(at):
         return None
     size = len(names)
@@ -195,35 +202,6 @@ def pair_block(block: int, codes: np.ndarray, names: np.ndarray) -> pa.RecordBat
     return _listed(block, out, [pa.array(names[key // size]), pa.array(names[key % size]), pa.array(n, pa.int64())], PAIRS)
 
 
-def pair_blocks(blocks: DataFrame, names: DataFrame) -> DataFrame:
-    """(block, codes, grams) of the next level. names: (block, names), a list of (k, id), what the block's codes are called."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                codes, given = (batch.column(c)[i].values for c in (1, 2))
-                codes = codes.to_numpy(zero_copy_only=False)
-                table = np.full(max(1, int(codes.max(initial=0)) + 1), -1, np.int64)
-                table[given.field("k").to_numpy(zero_copy_only=False)] = given.field("id").to_numpy(zero_copy_only=False)
-                made = pair_block(batch.column(0)[i].as_py(), codes, table)
-                if made is not None:
-                    yield made
-
-    return blocks.select("block", "codes").join(names, "block").mapInArrow(run, PAIRS)
-
-
-def _named(blocks: DataFrame, frequent: DataFrame, keys: list[str]) -> DataFrame:
-    """(block, names): for each block the global names of those of its grams that are frequent.
-
-    Most grams of a block are not; a bit set of the frequent ones, of bounded size, leaves out nearly all of these before
-    anything is shuffled, and the join leaves out the rest.
-    """
-    h = F.xxhash64(*keys)
-    grams = blocks.select("block", F.posexplode("grams").alias("k", "g")).select("block", "k", *(f"g.{c}" for c in keys)).withColumn("h", h)
-    likely = Members(frequent.select(h.alias("h")), "h").those_in(grams, "h").drop("h")
-    return likely.join(frequent.select(*keys, "id"), keys).groupBy("block").agg(F.collect_list(F.struct("k", "id")).alias("names"))
-
-
 def scored(a: Column, left: Column, right: Column) -> Column:
     """floor(SCALE * a * a / (left * right)), exact, in 38 digits."""
     big = T.DecimalType(38, 0)
@@ -262,27 +240,20 @@ def collocations(docs: DataFrame, max_words: int = 3, min_count: int = 10, limit
         return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
 
     docs = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    keys, levels, shared, blocks, grams = ["lang", "word"], [], [], None, None
+    keys, levels, shared, grams = ["lang", "word"], [], [], None
     for k in range(1, max_words + 1):
-        found = text_counts(docs, shared) if blocks is None else blocks.select(F.explode("grams").alias("g")).select("g.*")
-        counts = found.groupBy(*keys).agg(F.sum("n").alias("f"))
+        counts = text_counts(docs, shared).groupBy(*keys).agg(F.sum("n").alias("f"))
         if k == 1:
             counts = written(counts, "words")
             totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
-        names = written(counts.where(F.col("f") >= min_count).select(F.monotonically_increasing_id().alias("id"), *keys, "f"), f"names-{k}")
+        names = written(counts.where(F.col("f") >= min_count).select(F.xxhash64(*keys).alias("id"), *keys, "f"), f"names-{k}")
         if k == 1:
             grams = names.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"))
         else:
             grams = written(_with_parents(names, grams), f"grams-{k}")
             levels.append(grams)
-        if k == max_words:
-            break
-        size = F.octet_length("lang") + F.octet_length("word") + 24 if k == 1 else F.lit(32)
-        if blocks is None and (names.agg(F.sum(size.cast("long"))).first()[0] or 0) <= SHARED:
-            shared.append(Shared(names.select("id", *keys).toArrow(), shared[-1] if shared else None))  # its size was looked at
-        else:
-            blocks = written(text_blocks(docs, shared), f"blocks-{k}") if blocks is None else blocks
-            blocks = written(pair_blocks(blocks, _named(blocks, names, keys)), f"blocks-{k + 1}")
+        if k < max_words:
+            shared.append(frequent_set(names))
         keys = ["left", "right"]
     kept = [_kept(rows, levels[i + 1] if i + 1 < len(levels) else None, subsumed).select("lang", "id", F.lit(i).alias("k"), *_CUT) for i, rows in enumerate(levels)]
     every = kept[0]
