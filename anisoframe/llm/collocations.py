@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import LONG, STRING, Members, as_bytes, shuffle_width, small_batches, struct
+from .common import LONG, STRING, Members, as_bytes, held_bits, shuffle_width, small_batches, struct
 from .files import new_folder
 
 #: Bytes of texts in a block, unless a single text has more.
@@ -135,17 +135,7 @@ def names_of(grams: pa.StructArray) -> np.ndarray:
 
 def frequent_set(names: DataFrame) -> np.ndarray:
     """A bit set of the ids of a table, in words of 64 bits."""
-    found = Members(names.select("id"), "id", 8 * SHARED)
-    words = found.words.toArrow()  # of ``SHARED`` bytes at most
-    out = np.zeros(found.bits >> 6, np.int64)
-    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return out
-
-
-def those_in(members: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """Whether the set has each of the names, or lets it through."""
-    at = names & (64 * len(members) - 1)
-    return (members[at >> 6] >> (at & 63) & 1).astype(bool)
+    return Members(names.select("id"), "id", 8 * SHARED).array()
 
 
 def _raised(block: pa.RecordBatch | None, levels: list[np.ndarray]) -> pa.RecordBatch | None:
@@ -153,7 +143,7 @@ def _raised(block: pa.RecordBatch | None, levels: list[np.ndarray]) -> pa.Record
     for members in levels:
         if block is not None:
             names = names_of(block.column(2)[0].values)
-            block = pair_block(block.column(0)[0].as_py(), block.column(1)[0].values.to_numpy(zero_copy_only=False), names, those_in(members, names))
+            block = pair_block(block.column(0)[0].as_py(), block.column(1)[0].values.to_numpy(zero_copy_only=False), names, held_bits(members, names))
     return block
 
 

@@ -9,8 +9,10 @@ more is shared, the first n - ceil(percent n / 100) + 1 shingles of each have on
 under a shingle. Pairs that can't reach the similarity by their sizes, by what is left behind the shingle, or by sketches of a
 bit for each shingle drop out, none of them a similar pair; the others are compared by their whole sets.
 
-A shingle that many texts share makes no pair of each two of them: rounds link the texts of a shingle to one of them first,
-and only texts that are still in different components are paired then. The texts of a pair's side with thousands of
+The order puts shingles that more than ``CROWD`` texts have behind all others, so that a text of which a fifth is its own
+meets none of those with which it shares a passage, however many these are. What still meets under a common shingle makes no
+pair of each two: rounds link the texts of a shingle to one of them first, as long as more pairs than ``ROWS`` times the rows
+are left and a round halves them, and only texts that are still in different components are paired then. The texts of a pair's side with thousands of
 partners are dealt out in parts, each with a copy of the text that they share.
 """
 
@@ -27,17 +29,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import simhash
-from .common import BOOL, LONG, Members, as_bytes, checkpointed, fresh, join_hot, small_batches, struct
+from .common import BOOL, LONG, Members, as_bytes, checkpointed, fresh, held_bits, join_hot, small_batches, struct
 from .components import connected_components
-from .files import new_folder
+from .files import new_folder, stored
 
 SHINGLE = 5
 PERCENT = 80
 #: Rounds in which the texts of a shingle are linked to one of them, before those that are left are paired.
 STARS = 1
-#: Shingles counted at once, how often one must be seen among them, and how many the order knows as common. The order
-#: decides how many pairs are compared, never which are found.
-CHUNK, SEEN, COMMON = 1 << 19, 4, 1 << 17
+#: Rounds of that kind there are besides, at most, and pairs for each row up to which there is no need of one.
+MORE, ROWS = 6, 1
+#: Shingles counted at once, texts from which one is a common one, and how many are told apart by their counts; of others
+#: tasks hold a bit set. The order decides how many pairs are compared, never which are found.
+CHUNK, CROWD, COMMON = 1 << 19, 8, 1 << 17
 #: Rows of an Arrow batch here: a pair holds two whole texts. And pairs of one text that a task gets.
 PAIR_ROWS, PARTNERS = 100, 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -86,13 +90,13 @@ def may_be_similar(a: bytes, b: bytes, percent: int = PERCENT) -> bool:
     return 100 * low >= percent * high and (100 + percent) * (x ^ y).bit_count() <= (100 - percent) * (low + high)
 
 
-def prefix(values: np.ndarray, common: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The shingles of which every similar set shares one, in the common order."""
+def prefix(values: np.ndarray, common: np.ndarray, counts: np.ndarray, crowded: np.ndarray | None = None, percent: int = PERCENT) -> np.ndarray:
+    """The shingles of which every similar set shares one, in the common order. crowded: a bit set of all common ones."""
     n = len(values)
-    rank = np.zeros(n, np.int64)
+    rank = np.zeros(n, np.int64) if crowded is None else held_bits(crowded, values.view(np.int64)).astype(np.int64)
     if len(common):
         at = np.minimum(np.searchsorted(common, values), len(common) - 1)
-        rank = np.where(common[at] == values, counts[at], 0)
+        rank = np.where(common[at] == values, counts[at], rank)
     return values[np.lexsort((values, rank))[: n + -percent * n // 100 + 1]]
 
 
@@ -103,7 +107,7 @@ def _counted(shingle: int):
         def seen() -> pa.RecordBatch:
             values, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(values[n >= SEEN].view(np.int64)), pa.array(n[n >= SEEN])], names=["key", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], names=["key", "n"])
 
         size = 0
         for batch in batches:
@@ -118,13 +122,14 @@ def _counted(shingle: int):
     return run
 
 
-def _common(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most common shingles, sorted, and about how many texts have each; ``COMMON`` of them at most."""
+def _common(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``COMMON`` most common shingles, sorted, how many texts have each, and a bit set of all that ``CROWD`` texts have."""
     found = docs.select(text_col).mapInArrow(_counted(shingle), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    found = stored(found.where(F.col("n") > CROWD))
     rows = found.orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
     values, counts = rows.column("key").to_numpy().astype(np.int64).view(np.uint64), rows.column("n").to_numpy()
     order = np.argsort(values)
-    return values[order], counts[order]
+    return values[order], counts[order], Members(found, "key").array()
 
 
 @contextmanager
@@ -217,6 +222,13 @@ def fingerprint_pairs(docs: DataFrame, text_col: str, shingle: int, radius: int
     return links.unionByName(equal)
 
 
+def _left(rows: DataFrame) -> int:
+    """Pairs of rows (key, root) of equal key and different roots."""
+    n, each = F.sum("c").cast("double"), F.sum(F.col("c").cast("double") * F.col("c"))
+    held = rows.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(((n * n - each) / 2).alias("pairs"))
+    return int(held.agg(F.sum("pairs")).first()[0] or 0)
+
+
 def similar_roots(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, stars: int = STARS) -> DataFrame | None:
     """(mark, root) of every text (by its xxhash64) that is similar to another one; None if there is none.
 
@@ -236,7 +248,8 @@ def similar_roots(docs: DataFrame, text_col: str = "text", shingle: int = SHINGL
     # A key that the set lets through without need is in one component, and drops out below.
     meet = checkpointed(Members(again, "key").those_in(heads.select("mark", "n", F.posexplode("prefix").alias("at", "key")), "key"))
     total = meet.count()
-    for salt in range(stars + 1):
+    left = float("inf")
+    for salt in range(stars + MORE + 1):
         rows = meet.withColumn("root", F.col("mark"))
         if roots is not None:
             rows = checkpointed(meet.join(roots, "mark", "left").withColumn("root", F.coalesce("root", "mark")))
@@ -245,7 +258,8 @@ def similar_roots(docs: DataFrame, text_col: str = "text", shingle: int = SHINGL
         mixed = checkpointed(mixed.select("key", "texts", *(F.col(f"lead.{c}").alias(f"{c}2") for c in ("mark", "n", "root", "at"))))
         if near is None and mixed.isEmpty():
             break
-        if salt < stars:
+        before, left = left, _left(rows) if stars <= salt < stars + MORE else left
+        if star := salt < stars or salt < stars + MORE and ROWS * total < left <= before / 2:
             both = join_hot(rows, mixed, ["key"], total, "texts").where("root <> root2")
         else:
             rows = checkpointed(join_hot(rows, mixed.select("key", "texts"), ["key"], total, "texts").drop("texts"))
@@ -259,6 +273,8 @@ def similar_roots(docs: DataFrame, text_col: str = "text", shingle: int = SHINGL
         pairs = checkpointed(both.select(F.least("mark", "mark2").alias("u"), F.greatest("mark", "mark2").alias("v")).distinct())
         if not pairs.isEmpty() and not (pairs := _likely(pairs, heads, percent)).isEmpty():
             linked(pairs)
+        if not star:
+            break
     return roots
 
 

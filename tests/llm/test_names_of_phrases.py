@@ -24,7 +24,7 @@ def test_what_tasks_get_is_bounded(spark, monkeypatch):
     names = spark.range(40_000).select(F.xxhash64("id").alias("id"))
     members = C.frequent_set(names)
     ids = np.array([r.id for r in names.collect()])
-    assert members.nbytes <= C.SHARED and C.those_in(members, ids).all()
+    assert members.nbytes <= C.SHARED and C.held_bits(members, ids).all()
     few = C.frequent_set(names.limit(20))
     others = np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 10_000)
-    assert few.nbytes <= C.SHARED and C.those_in(few, others).sum() < 500
+    assert few.nbytes <= C.SHARED and C.held_bits(few, others).sum() < 500
