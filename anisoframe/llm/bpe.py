@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 
 from .common import LONG, STRING, as_bytes, small_batches, struct
 
-#: Distinct pretokens that a task remembers before it starts anew.
-REMEMBERED = 60_000
+#: Distinct pretokens that a task remembers before it starts anew, and characters of these.
+REMEMBERED, REMEMBERED_CHARS = 300_000, 16 << 20
 # White space as the pattern's \s has it, and the pattern that splits texts.
 _SPACE = "\t-\r \x85\xa0  -     　"
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -195,6 +195,7 @@ class ByteBPE:
         self.special = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.held = 0
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """The ids (as 32-bit numbers) of pretokens, encoded side by side with others of about their length."""
@@ -233,6 +234,7 @@ class ByteBPE:
         return self.pattern.findall(chunk)
 
     def _learn(self, chunks: set[str]) -> None:
+        self.held += sum(map(len, chunks))
         split = [self._split(c) for c in chunks]
         new = list({p for s in split for p in s if p not in self.pieces})
         self.pieces.update(zip(new, self.encode_pieces(new)))
@@ -243,9 +245,10 @@ class ByteBPE:
         """The ids of each text; the strings of added tokens in a text are those tokens."""
         at = 0
         while at < len(texts):
-            if max(len(self.chunks), len(self.pieces)) > REMEMBERED:
+            if max(len(self.chunks), len(self.pieces)) > REMEMBERED or self.held > REMEMBERED_CHARS:
                 self.chunks.clear()
                 self.pieces.clear()
+                self.held = 0
             part, size, new = [], 0, set()
             while at < len(texts) and size < 1 << 20:
                 text = texts[at]
