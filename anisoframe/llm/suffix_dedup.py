@@ -24,9 +24,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from numpy.lib.stride_tricks import sliding_window_view
@@ -56,12 +58,21 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def _up_down(limit: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers(int(_ODD), limit + 1), _powers(_inverse(int(_ODD)), limit + 1)
+
+
+#: Places for which powers are made once; longer arrays get their own.
+_KNOWN = 1 << 20
+_known = lru_cache(1)(lambda: _up_down(_KNOWN))
+
+
 class Rolling:
     """Polynomial hashes of all windows of a byte array, modulo 2^64 and mixed."""
 
     def __init__(self, window: int, limit: int):
         self.window = window
-        self.up, self.down = _powers(int(_ODD), limit + 1), _powers(_inverse(int(_ODD)), limit + 1)
+        self.up, self.down = _known() if limit <= _KNOWN else _up_down(limit)
 
     def __call__(self, data: np.ndarray) -> np.ndarray:
         total = np.zeros(len(data) + 1, np.uint64)
@@ -248,8 +259,8 @@ def _piece_ranks(data: bytes, ends: np.ndarray, begins: np.ndarray) -> np.ndarra
     return _ranks(words, left, 7)
 
 
-def _repeats(texts: list[bytes], at: np.ndarray, counts: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each phrase the places that start a string of ``length`` which occurs again, in it or in another.
+def _repeats(texts: list[bytes], at: np.ndarray, counts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(phrase, place), ascending: the places that start a string of ``length`` which occurs again, in it or in another.
 
     at: where the trigger stands in each phrase; only strings with that trigger are looked at, so that each place of the
     corpus is looked at once. counts: the occurrences of each phrase.
@@ -260,7 +271,16 @@ def _repeats(texts: list[bytes], at: np.ndarray, counts: np.ndarray, length: int
     low = _lowest(Rolling(TRIGGER, len(whole))(whole), LENGTH - TRIGGER + 1)
     places = np.flatnonzero(low == np.repeat(begin + at, sizes)[: len(low)])
     places = places[places + LENGTH <= np.repeat(begin + sizes, sizes)[places]]
-    data, order = corpus_order(texts, places=places)
+    if not len(places):
+        return places, places
+    # Only what these strings cover is put in order.
+    bounds = np.searchsorted(places, np.append(begin, len(whole)))
+    some = np.flatnonzero(bounds[1:] > bounds[:-1])
+    left, right = places[bounds[some]], places[bounds[some + 1] - 1] + length
+    first = np.cumsum(right - left) - (right - left)
+    shift, raw = left - first, whole.tobytes()
+    within = places - np.repeat(shift, np.diff(bounds)[some])
+    data, order = corpus_order([raw[a:b] for a, b in zip(left.tolist(), right.tolist())], places=within)
     words = _words(data)
     alike = np.arange(1, len(order))
     for k in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
@@ -268,10 +288,11 @@ def _repeats(texts: list[bytes], at: np.ndarray, counts: np.ndarray, length: int
     new = np.ones(len(order), bool)
     new[alike] = False
     group = np.cumsum(new) - 1
-    total = np.bincount(group, weights=np.repeat(counts, sizes)[order]) if len(order) else np.zeros(0)
+    of = np.repeat(some, right - left)
+    total = np.bincount(group, weights=counts[of[order]])
     hit = np.sort(order[total[group] > 1])
-    bounds = np.searchsorted(hit, np.append(begin, len(data)))
-    return [hit[bounds[i] : bounds[i + 1]] - begin[i] for i in range(len(texts))]
+    which = of[hit]
+    return which, hit + np.repeat(shift, right - left)[hit] - begin[which]
 
 
 def _with_trigger(phrase: bytes, at: int) -> np.ndarray:
@@ -280,28 +301,21 @@ def _with_trigger(phrase: bytes, at: int) -> np.ndarray:
     return np.flatnonzero(low == at)
 
 
-def _runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """Maximal runs that strings of ``length`` at the ascending ``starts`` cover."""
-    if not len(starts):
-        return []
-    gap = np.flatnonzero(np.diff(starts) > length)
-    return list(zip(starts[np.append(0, gap + 1)].tolist(), (starts[np.append(gap, len(starts) - 1)] + length).tolist()))
-
-
-_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-
 def _order_batch(rows: pa.Table) -> pa.RecordBatch:
-    """Phrases of whole triggers to the spans (id, mark, spans) that repeat."""
+    """Phrases of whole triggers to the spans (id, mark, spans) that repeat: maximal runs that repeated strings cover."""
     texts, counts = as_bytes(rows.column("bytes").combine_chunks()), rows.column("n").to_numpy()
-    found = _repeats(texts, rows.column("at").to_numpy(), counts)
-    keep, spans = [], []
-    for i, (starts, n, o) in enumerate(zip(found, counts.tolist(), rows.column("left").to_pylist())):
-        if n == 1 and len(starts):  # phrases that occur twice are spans already
-            keep.append(i)
-            spans.append([{"start": s + o, "end": e + o} for s, e in _runs(starts, LENGTH)])
-    ids, marks = (rows.column(c).combine_chunks().take(pa.array(keep, pa.int64())) for c in ("id", "mark"))
-    return pa.RecordBatch.from_arrays([ids, marks, pa.array(spans, _SPANS)], names=["id", "mark", "spans"])
+    which, starts = _repeats(texts, rows.column("at").to_numpy(), counts)
+    once = counts[which] == 1  # phrases that occur twice are spans already
+    which, starts = which[once], starts[once]
+    starts = starts + rows.column("left").to_numpy()[which]
+    other = np.append(True, which[1:] != which[:-1])[: len(which)]
+    first = np.flatnonzero(other | (np.diff(starts, prepend=starts[:1]) > LENGTH))
+    last = np.append(first[1:], len(starts))[: len(first)] - 1
+    spans = pa.StructArray.from_arrays([pa.array(starts[first]), pa.array(starts[last] + LENGTH)], names=["start", "end"])
+    at = np.flatnonzero(other[first])
+    ids, marks = (rows.column(c).combine_chunks().take(pa.array(which[first[at]])) for c in ("id", "mark"))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(first)), pa.int32()), spans)
+    return pa.RecordBatch.from_arrays([ids, marks, lists], names=["id", "mark", "spans"])
 
 
 def _order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +325,7 @@ def _order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         while batch.num_rows:
             keys = batch.column("key").to_numpy()
-            grown = size + np.cumsum(batch.column("bytes").to_pandas().str.len().to_numpy())
+            grown = size + np.cumsum(pc.binary_length(batch.column("bytes")).to_numpy().astype(np.int64))
             full = np.flatnonzero((grown > BATCH)[:-1] & (keys[1:] != keys[:-1]))
             if held and size > BATCH and held[-1].column("key")[-1].as_py() != keys[0]:
                 yield _order_batch(pa.Table.from_batches(held))
