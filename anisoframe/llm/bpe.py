@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LONG, STRING, as_bytes, small_batches, struct
+from .common import FORGET, LONG, STRING, as_bytes, small_batches, struct, turn
 
 #: Distinct pretokens that a task remembers before it starts anew, and characters of these.
 REMEMBERED, REMEMBERED_CHARS = 300_000, 16 << 20
@@ -273,6 +273,7 @@ _LOADED: dict[str, ByteBPE] = {}
 
 
 def tokenizer(path: str) -> ByteBPE:
+    turn("bpe")
     if path not in _LOADED:
         _LOADED[path] = ByteBPE(path)
     return _LOADED[path]
@@ -325,5 +326,13 @@ def measure(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 _NAMES: dict[str, dict[int, str]] = {}
 
 
+def _forget() -> None:
+    _LOADED.clear()
+    _NAMES.clear()
+
+
+FORGET["bpe"] = _forget
+
+
 def _decimals(path: str) -> dict[int, str]:
     return _NAMES.setdefault(path, {i: str(i) for i in tokenizer(path).bytes_of})

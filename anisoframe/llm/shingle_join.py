@@ -18,7 +18,7 @@ partners are dealt out in parts, each with a copy of the text that they share.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import simhash
-from .common import BOOL, LONG, Members, as_bytes, checkpointed, fresh, held_bits, join_hot, small_batches, struct
+from .common import BOOL, LONG, Members, as_bytes, checkpointed, fresh, held_bits, join_hot, small_batches, struct, turn
 from .components import connected_components
 from .files import new_folder, stored
 
@@ -42,6 +42,8 @@ MORE, ROWS = 6, 1
 #: Shingles counted at once, texts from which one is a common one, and how many are told apart by their counts; of others
 #: tasks hold a bit set. The order decides how many pairs are compared, never which are found.
 CHUNK, CROWD, COMMON = 1 << 19, 8, 1 << 17
+#: Bits of the bucket in which a shingle is counted.
+BUCKETS = 11
 #: Rows of an Arrow batch here: a pair holds two whole texts. And pairs of one text that a task gets.
 PAIR_ROWS, PARTNERS = 100, 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -100,32 +102,84 @@ def prefix(values: np.ndarray, common: np.ndarray, counts: np.ndarray, crowded:
     return values[np.lexsort((values, rank))[: n + -percent * n // 100 + 1]]
 
 
-def _counted(shingle: int):
+def _dealt(found: Callable[[pa.Array], list[np.ndarray]]):
+    """Rows to (bucket, keys, counts): how often what ``found`` makes of the first column occurs, ``CHUNK`` values at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("count")
         held: list[np.ndarray] = []
 
         def seen() -> pa.RecordBatch:
-            values, n = np.unique(np.concatenate(held), return_counts=True)
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], names=["key", "n"])
+            of = (keys >> np.uint64(64 - BUCKETS)).astype(np.int64)
+            first = np.flatnonzero(np.diff(of, prepend=-1))
+            sides = ((keys, 8), (n.astype(np.uint32), 4))
+            packed = [pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((np.append(first, len(keys)) * width).astype(np.int32)), pa.py_buffer(x)]) for x, width in sides]
+            return pa.RecordBatch.from_arrays([pa.array(of[first]), *packed], names=["bucket", "keys", "counts"])
 
         size = 0
         for batch in batches:
-            held += [shingles(t, shingle) for t in as_bytes(batch.column(0))]
-            size += sum(map(len, held[-batch.num_rows :])) if batch.num_rows else 0
-            if size >= CHUNK:
-                yield seen()
-                size = 0
-        if held:
+            for values in found(batch.column(0)):
+                held.append(values)
+                size += len(values)
+                if size >= CHUNK:
+                    yield seen()
+                    size = 0
+        if size:
             yield seen()
 
     return run
 
 
+def _added(least: int):
+    """Rows of ``_dealt``, sorted by bucket, to (key, n) of all keys that occur ``least`` times or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def total(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            keys, n = (np.frombuffer(b"".join(x for r in rows for x in r.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("counts", np.uint32)))
+            order = np.argsort(keys)
+            keys, n = keys[order], n[order].astype(np.int64)
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            n = np.add.reduceat(n, first)
+            keys, n = keys[first][n >= least], n[n >= least]
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+
+        turn("add")
+        held, at = [], None
+        for batch in batches:
+            of = batch.column("bucket").to_numpy()
+            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+            for s, e in zip(cuts, cuts[1:]):
+                if e > s and of[s] != at:
+                    if held:
+                        yield total(held)
+                    held, at = [], of[s]
+                held.append(batch.slice(s, e - s))
+        if held:
+            yield total(held)
+
+    return run
+
+
+def _counts(rows: DataFrame, found: Callable[[pa.Array], list[np.ndarray]], least: int) -> DataFrame:
+    """(key, n), a written table, of the values that ``found`` makes of the only column and that occur ``least`` times or more.
+
+    Values travel packed, a row for a bucket of a chunk, so that neither side of the shuffle holds a row or a hash entry for
+    each. A task adds up one bucket at a time.
+    """
+    dealt = rows.mapInArrow(_dealt(found), "bucket long, keys binary, counts binary")
+    return stored(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_added(least), "key long, n long"))
+
+
+def _lists(values: pa.Array) -> list[np.ndarray]:
+    """The lists of a column of long values, as one array."""
+    return [values.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)]
+
+
 def _common(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ``COMMON`` most common shingles, sorted, how many texts have each, and a bit set of all that ``CROWD`` texts have."""
-    found = docs.select(text_col).mapInArrow(_counted(shingle), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    found = stored(found.where(F.col("n") > CROWD))
+    found = _counts(docs.select(text_col), lambda texts: [shingles(t, shingle) for t in as_bytes(texts)], CROWD + 1)
     rows = found.orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
     values, counts = rows.column("key").to_numpy().astype(np.int64).view(np.uint64), rows.column("n").to_numpy()
     order = np.argsort(values)
@@ -155,6 +209,7 @@ def _heads(docs: DataFrame, text_col: str, shingle: int, percent: int) -> DataFr
     shape = pa.struct([("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def look(texts: pa.Array) -> pa.Array:
+        turn("heads")
         rows = []
         for t in as_bytes(texts):
             values = shingles(t, shingle)
@@ -196,6 +251,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, text_col: str, shingle: int, pe
     texts = checkpointed(Members(nodes, "mark").those_in(texts, "mark").dropDuplicates(["mark"]))
 
     def look(a: pa.Array, b: pa.Array) -> pa.Array:
+        turn("compare")
         sides = zip(as_bytes(a), as_bytes(b))
         return pa.array([similar(shingles(x, shingle), shingles(y, shingle), percent) for x, y in sides], pa.bool_())
 
@@ -244,7 +300,7 @@ def similar_roots(docs: DataFrame, text_col: str = "text", shingle: int = SHINGL
 
     near = checkpointed(fingerprint_pairs(docs, text_col, shingle))
     heads = _heads(docs, text_col, shingle, percent)
-    again = checkpointed(heads.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
+    again = _counts(heads.select("prefix"), _lists, 2)
     # A key that the set lets through without need is in one component, and drops out below.
     meet = checkpointed(Members(again, "key").those_in(heads.select("mark", "n", F.posexplode("prefix").alias("at", "key")), "key"))
     total = meet.count()

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LONG, STRING, as_bytes, fresh, small_batches
+from .common import FORGET, LONG, STRING, as_bytes, fresh, small_batches, turn
 from .files import new_folder
 
 LENGTH = 200
@@ -101,6 +101,14 @@ def _lowest(h: np.ndarray, width: int) -> np.ndarray:
 _ROLLING: dict[int, Rolling] = {}
 
 
+def _forget() -> None:
+    _ROLLING.clear()
+    _known.cache_clear()
+
+
+FORGET["repeats"] = _forget
+
+
 def _rolling(window: int) -> Rolling:
     return _ROLLING.setdefault(window, Rolling(window, _PIECE + LENGTH))
 
@@ -150,6 +158,7 @@ def triggers(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, mark, text) to a row for each trigger; equal phrases in a row, as in periodic text, are one row."""
+    turn("parse")
     digest, before = xxhash.xxh3_64_intdigest, LENGTH - TRIGGER
     signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
     for batch in batches:
@@ -320,6 +329,7 @@ def _order_batch(rows: pa.Table) -> pa.RecordBatch:
 
 def _order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by trigger, cut into batches of whole triggers."""
+    turn("order")
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
