@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LONG, STRING, as_bytes, checkpointed, fresh, small_batches, struct
+from .common import LONG, STRING, as_bytes, checkpointed, fresh, small_batches, struct, turn
 from .suffix_dedup import suffix_ranks
 
 WINDOW = 13
@@ -157,6 +157,7 @@ FOUND = struct(n_words=LONG, n_hit=LONG, items=T.ArrayType(STRING), words=_SPAN)
 
 def _search(block: Windows):
     def look(texts: pa.Array, found: pa.Array | None = None) -> pa.Array:
+        turn("search")
         shard = [words_of(b) for b in as_bytes(texts)]
         hits, items = block.mark(shard)
         rows = found.to_pylist() if found is not None else repeat(None)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LONG, as_bytes, checkpointed, fresh, join_hot, small_batches
+from .common import LONG, as_bytes, checkpointed, fresh, join_hot, small_batches, turn
 from .components import connected_components
 
 #: Bits of the six blocks, from the lowest.
@@ -54,7 +54,11 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
 
 def fingerprints(text_col: str, shingle: int = 4) -> Column:
     """Fingerprints of a text column, as longs."""
-    look = lambda texts: pa.array(np.array([fingerprint(b, shingle) for b in as_bytes(texts)], np.uint64).view(np.int64))
+
+    def look(texts: pa.Array) -> pa.Array:
+        turn("fingerprints")
+        return pa.array(np.array([fingerprint(b, shingle) for b in as_bytes(texts)], np.uint64).view(np.int64))
+
     return F.arrow_udf(look, LONG)(text_col)
 
 

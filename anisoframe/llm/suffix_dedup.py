@@ -381,13 +381,15 @@ def _same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from batches
 
 
-def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts and the triggers whose bytes are wanted, to those phrases."""
+def _cut_out(batches: Iterator[pa.RecordBatch], kinds: int, above: bool = False) -> Iterator[pa.RecordBatch]:
+    """Texts and the triggers whose bytes are wanted, to those phrases; of triggers with up to ``kinds`` kinds, or of those above."""
+    turn("cut")
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         cols: dict[str, list] = {c: [] for c in ("row", "key", "kinds", "n", "left", "at", "bytes")}
         *_, ids, marks, packs, wants = batch.columns
         for i, (packed, wanted) in enumerate(zip(packs.to_pylist(), wants.to_pylist())):
+            wanted = [w for w in wanted or [] if (w["kinds"] > kinds) == above]
             if not wanted:
                 continue
             data = unpack.decompress(packed)
@@ -436,10 +438,14 @@ def packed_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
 
 
 def _left(rows: DataFrame, names: list[str], more: DataFrame, value: str) -> tuple[DataFrame, str]:
-    """(all rows of ``packed_rows`` with a value for their id and mark, the value's column)."""
+    """(all rows of ``packed_rows`` with a value for their id and mark, the value's column).
+
+    Always by a shuffle: where few values are broadcast instead, a task packs texts and unpacks them again, in two Python
+    workers at once, and workers stay for the session.
+    """
     of, own, held = (fresh(c, rows.columns) for c in ("cut_id", "cut_mark", "cut_value"))
     more = more.select(F.col("id").alias(of), F.col("mark").alias(own), F.col(value).alias(held))
-    return rows.join(more, F.col(names[0]).eqNullSafe(F.col(of)) & (F.col(names[1]) == F.col(own)), "left").drop(of, own), held
+    return rows.join(more.hint("merge"), F.col(names[0]).eqNullSafe(F.col(of)) & (F.col(names[1]) == F.col(own)), "left").drop(of, own), held
 
 
 def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: int = KINDS, packed: tuple[DataFrame, list[str]] | None = None) -> DataFrame:
@@ -471,10 +477,11 @@ def repeat_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     several = known.where("kinds > 1").select("one.id", "one.mark", F.struct("key", "kinds", "n", "one.first").alias("w"))
     wanted = several.groupBy("id", "mark").agg(F.collect_list("w").alias("wanted"))
     shape = f"id {kind}, mark long, key long, kinds long, n long, left long, at long, bytes binary"
-    cut = _left(held, names, wanted, "wanted")[0].mapInArrow(_cut_out, shape)
-    ordered = cut.where(F.col("kinds") <= kinds).repartition("key").sortWithinPartitions("key")
+    texts = _left(held, names, wanted, "wanted")[0]
+    ordered = texts.mapInArrow(lambda rows: _cut_out(rows, kinds), shape).repartition("key").sortWithinPartitions("key")
     ordered = ordered.mapInArrow(_order, f"id {kind}, mark long, spans array<struct<start:long,end:long>>")
-    strings = cut.where(F.col("kinds") > kinds).mapInArrow(_strings, f"id {kind}, mark long, start long, digest binary, n long")
+    # In one step: two would take two Python workers for each task, and workers stay.
+    strings = texts.mapInArrow(lambda rows: _strings(_cut_out(rows, kinds, True)), f"id {kind}, mark long, start long, digest binary, n long")
     common = strings.groupBy("digest").agg(F.sum("n").alias("total")).where("total > 1")
     common = strings.join(common, "digest").select("id", "mark", F.array(F.struct("start", (F.col("start") + LENGTH).alias("end"))).alias("spans"))
     found = whole.unionByName(ordered).unionByName(common)
