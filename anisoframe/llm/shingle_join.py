@@ -92,6 +92,12 @@ def may_be_similar(a: bytes, b: bytes, percent: int = PERCENT) -> bool:
     return 100 * low >= percent * high and (100 + percent) * (x ^ y).bit_count() <= (100 - percent) * (low + high)
 
 
+def parities(values: np.ndarray) -> np.ndarray:
+    """A sketch of 256 buckets for sets of any size, as four longs: short enough to go with every row that is joined."""
+    odd = np.bincount((values & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def prefix(values: np.ndarray, common: np.ndarray, counts: np.ndarray, crowded: np.ndarray | None = None, percent: int = PERCENT) -> np.ndarray:
     """The shingles of which every similar set shares one, in the common order. crowded: a bit set of all common ones."""
     n = len(values)
@@ -203,20 +209,22 @@ def _mark(text_col: str) -> Column:
 
 
 def _heads(docs: DataFrame, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """(mark, n, prefix, sketch) of every different text, as a written table; only texts that occur twice are shuffled."""
+    """(mark, n, odd, prefix, sketch) of every different text, as a written table; only texts that occur twice are shuffled.
+
+    odd: ``parities``."""
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(_common(docs, text_col, shingle))
-    shape = pa.struct([("n", pa.int64()), ("prefix", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    shape = pa.struct([("n", pa.int64()), ("odd", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def look(texts: pa.Array) -> pa.Array:
         turn("heads")
         rows = []
-        for t in as_bytes(texts):
-            values = shingles(t, shingle)
-            rows.append({"n": len(values), "prefix": prefix(values, *order.value, percent).view(np.int64), "sketch": sketch(values)})
+        for text in as_bytes(texts):
+            values = shingles(text, shingle)
+            rows.append({"n": len(values), "odd": parities(values), "prefix": prefix(values, *order.value, percent).view(np.int64), "sketch": sketch(values)})
         return pa.array(rows, shape)
 
-    head = F.arrow_udf(look, struct(n=LONG, prefix=T.ArrayType(LONG), sketch=T.BinaryType()))
+    head = F.arrow_udf(look, struct(n=LONG, odd=T.ArrayType(LONG), prefix=T.ArrayType(LONG), sketch=T.BinaryType()))
     folder = new_folder(spark, "heads")
     docs.select(_mark(text_col).alias("mark"), head(text_col).alias("h")).select("mark", "h.*").write.parquet(folder)
     heads = spark.read.parquet(folder)
@@ -285,6 +293,10 @@ def _left(rows: DataFrame) -> int:
     return int(held.agg(F.sum("pairs")).first()[0] or 0)
 
 
+#: What a text brings along under each of its shingles.
+_SIDE = ("mark", "n", "root", "at")
+
+
 def similar_roots(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, stars: int = STARS) -> DataFrame | None:
     """(mark, root) of every text (by its xxhash64) that is similar to another one; None if there is none.
 
@@ -309,17 +321,21 @@ def similar_roots(docs: DataFrame, text_col: str = "text", shingle: int = SHINGL
         rows = meet.withColumn("root", F.col("mark"))
         if roots is not None:
             rows = checkpointed(meet.join(roots, "mark", "left").withColumn("root", F.coalesce("root", "mark")))
-        lead = F.min(F.struct(F.xxhash64("mark", F.lit(salt)), "mark", "n", "root", "at")).alias("lead")
+        lead = F.min(F.struct(F.xxhash64("mark", F.lit(salt)), *_SIDE)).alias("lead")
         mixed = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), lead, F.count("*").alias("texts")).where("low <> high")
-        mixed = checkpointed(mixed.select("key", "texts", *(F.col(f"lead.{c}").alias(f"{c}2") for c in ("mark", "n", "root", "at"))))
+        mixed = checkpointed(mixed.select("key", "texts", *(F.col(f"lead.{c}").alias(f"{c}2") for c in _SIDE)))
         if near is None and mixed.isEmpty():
             break
         before, left = left, _left(rows) if stars <= salt < stars + MORE else left
         if star := salt < stars or salt < stars + MORE and ROWS * total < left <= before / 2:
             both = join_hot(rows, mixed, ["key"], total, "texts").where("root <> root2")
         else:
-            rows = checkpointed(join_hot(rows, mixed.select("key", "texts"), ["key"], total, "texts").drop("texts"))
-            both = rows.join(rows.select("key", *(F.col(c).alias(f"{c}2") for c in ("mark", "n", "root", "at"))), "key").where("mark < mark2 AND root <> root2")
+            rows = join_hot(rows, mixed.select("key", "texts"), ["key"], total, "texts").drop("texts")
+            bits = [f"odd{i}" for i in range(4)]
+            rows = checkpointed(rows.join(heads.select("mark", *(F.col("odd")[i].alias(c) for i, c in enumerate(bits))), "mark"))
+            # As in ``may_be_similar``, before a pair is a row.
+            alike = f"{100 + percent} * ({' + '.join(f'bit_count({c} ^ {c}2)' for c in bits)}) <= {100 - percent} * (n + n2)"
+            both = rows.join(rows.select("key", *(F.col(c).alias(f"{c}2") for c in (*_SIDE, *bits))), "key").where(f"mark < mark2 AND root <> root2 AND {alike}")
         fits = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
         # What two sets share stands at or behind the first shingle that they share.
         reach = f"{100 + percent} * least(n - at, n2 - at2) >= {percent} * (n + n2)"
