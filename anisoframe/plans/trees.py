@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cuts, trees
+from ..operators.running import stored
 from .adapter import splats, table
 from .registry import S, query
 
@@ -71,14 +72,35 @@ def shown_ranges(spark, sf_dir):
     return shown.groupBy("level").agg(F.sum("count").alias("n"), F.every((F.col("file") >= 0) | (F.col("count") == 0)).alias("whole"))
 
 
+#: Nodes of the tree with one root are numbered apart by more than their number can be.
+_APART = 10**12
+
+
+def _rooted(spark, sf_dir):
+    """(leaf, nodes of its path) and the tree's (node, parent, depth): the depths of ``_tree`` under as many more, counted
+    down from -1, as it takes to come to one root, so that a budget covers the roots however many orders there are."""
+    leaf = F.shiftright("o_orderkey", _SHIFTS[-1])
+    leaves = stored(table(spark, sf_dir, "orders").select(leaf.alias("leaf")).dropna().distinct())
+    shifts = {d: s - _SHIFTS[-1] for d, s in enumerate(_SHIFTS)}
+    last, top = leaves.agg(F.max("leaf")).first()[0] or 0, 0
+    while last >> shifts[top] > 0:
+        shifts[top - 1] = shifts[top] + 2
+        top -= 1
+    name = {d: F.lit(d * _APART) + F.shiftright("leaf", s) for d, s in shifts.items()}
+    none = F.lit(None).cast("long")
+    tree = None
+    for d in sorted(shifts):
+        part = leaves.select(name[d].alias("node"), name.get(d - 1, none).alias("parent"), F.lit(d).alias("depth")).distinct()
+        tree = part if tree is None else tree.unionByName(part)
+    return leaves.select("leaf", F.explode(F.array(*name.values())).alias("node")), tree
+
+
 @query("SELECT count(DISTINCT o_orderkey >> 6) AS n_leaves, count(DISTINCT o_orderkey >> 6) AS n_covered_once, TRUE AS within FROM orders")
 def relaxed_cut(spark, sf_dir):
     """Leaves, those that have exactly one node of the cut above them or are in it, and whether the cut is within its bound."""
-    tree, _ = _tree(spark, sf_dir)
-    size = (F.col("node") * 7919 % 1000 + 1).cast("double") * F.pow(F.lit(4.0), 3 - F.col("depth"))
-    cut = cuts.relaxed_cut(tree.select("node", "parent", size.alias("size")), 60, threshold=2.0)
-    names = [F.lit(d * 1_000_000).cast("long") + F.shiftright("leaf", s - 6) for d, s in enumerate(_SHIFTS)]
-    above = tree.where("depth = 3").select((F.col("node") - 3_000_000).alias("leaf")).select("leaf", F.explode(F.array(*names)).alias("node"))
+    above, tree = _rooted(spark, sf_dir)
+    size = (F.pmod(F.col("node") * 7919, F.lit(1000)) + 1).cast("double") * F.pow(F.lit(4.0), 3 - F.col("depth"))
+    cut = stored(cuts.relaxed_cut(tree.select("node", "parent", size.alias("size")), 60, threshold=2.0))
     met = above.join(cut.withColumn("hit", F.lit(1)), "node", "left").groupBy("leaf").agg(F.sum("hit").alias("hits"))
     n = cut.agg(F.count("*").alias("rows"))
     return met.agg(F.count("*").alias("n_leaves"), F.count(F.when(F.col("hits") == 1, 1)).alias("n_covered_once")).join(n).select("n_leaves", "n_covered_once", (F.col("rows") <= 66).alias("within"))
