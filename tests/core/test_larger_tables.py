@@ -28,6 +28,10 @@ def test_quotas_of_more_blocks_than_the_target(spark):
     assert sum(blocks.values()) == 7 and {r.piece: r.n for r in nodes} == pieces and max(pieces.values()) <= 50 and sum(pieces.values()) == 900
     assert all(r.piece.startswith(r.block) and (r.piece == r.block or r.quota == 1) for r in nodes)
     assert not any(a != b and a.startswith(b) for a in blocks for b in blocks)
+
+
+def test_as_many_representatives_as_the_target(spark):
+    rows = frame(spark, made(np.random.default_rng(6), 900, crowd=0.3, copies=200))
     for target in (1, 7):
         got = {r.id: r for r in R.representatives(rows, target, limit=50).collect()}
         reps = {r.rep for r in got.values()}
